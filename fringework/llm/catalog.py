@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES = ("fingerprints", "url_filters")
+MODULES = ("simhash", "url_filters", "fingerprints")
 
 
 def queries() -> dict[str, Callable]:

@@ -1,0 +1,51 @@
+"""Connected components of an edge table, without a driver-side graph.
+
+Alternating stars: every node sends its larger neighbours, then its smaller
+ones, to the least node it knows of. Each round is a grouped minimum and an
+equi-join over the edges, written to the shared folder, so lineage stays short
+and a lost executor costs one round. The number of rounds grows with the
+logarithm of the longest path.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from fringework.llm.shared import dropped, written
+
+
+def _stars(edges: DataFrame) -> DataFrame:
+    """One round on edges (a, b) with a > b: large star, then small star."""
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
+    # Large star: (x, v) with v > x is an edge as it stands, with x as its smaller end.
+    large = written(edges.join(least.withColumnRenamed("a", "b"), "b").select(F.col("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large-star")
+    low = large.groupBy("a").agg(F.min("b").alias("m"))
+    small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+    out = written(small.where("a <> b").distinct(), "small-star")
+    dropped(edges.sparkSession, large)
+    return out
+
+
+def _state(edges: DataFrame) -> tuple:
+    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
+    return row["n"], row["s"]
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) for every node of the edges (a, b); the component is its least node.
+
+    Loops and repeated edges are ignored; nodes of equal value are one node.
+    """
+    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    state = _state(now)
+    while state[0]:
+        after = _stars(now)
+        dropped(edges.sparkSession, now)
+        now, before = after, state
+        state = _state(now)
+        if state == before:
+            break
+    leaves = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    return leaves.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
