@@ -20,6 +20,7 @@ import hashlib
 import heapq
 import json
 import os
+import re
 import tempfile
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -39,9 +40,9 @@ from fringework.llm.shared import shared_dir, table, text_or_empty
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Words in the lexicon, and the longest one (bytes).
-LEXICON_WORDS, LONGEST_WORD = 50_000, 48
+LEXICON_WORDS, LONGEST_WORD = 100_000, 48
 #: Distinct words a counting task holds before it hands them on, and a coding worker before it starts afresh.
-HELD_WORDS = 300_000
+HELD_WORDS = 500_000
 #: Rows handed on at a time.
 ROWS_AT_ONCE = 256
 
@@ -54,23 +55,37 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+#: Above every packed rank.
+_NONE = 1 << 60
+
+
 class Merges:
     """Exact merging of one word."""
 
     def __init__(self, start: np.ndarray, merges: np.ndarray) -> None:
         self.start = start.tolist()
         self.rank = {(a, b): (i, c) for i, (a, b, c) in enumerate(merges.tolist())}
+        # Rank and result in one number, so that the least of a list is the merge to make.
+        self.packed = {a << 32 | b: i << 32 | c for i, (a, b, c) in enumerate(merges.tolist())}
 
     def ids(self, word: bytes) -> list[int]:
         ids = [self.start[b] for b in word]
         return self._short(ids) if len(ids) <= 64 else self._long(ids)
 
     def _short(self, ids: list[int]) -> list[int]:
-        while len(ids) > 1:
-            best = min((self.rank.get(p, (1 << 60, 0)) + (i,) for i, p in enumerate(zip(ids, ids[1:], strict=False))), key=lambda x: (x[0], x[2]))
-            if best[0] == 1 << 60:
+        look = self.packed.get
+        ranks = [look(a << 32 | b, _NONE) for a, b in zip(ids, ids[1:], strict=False)]
+        while ranks:
+            best = min(ranks)
+            if best == _NONE:
                 break
-            ids[best[2] : best[2] + 2] = [best[1]]
+            i = ranks.index(best)
+            ids[i : i + 2] = [best & 0xFFFFFFFF]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = look(ids[i - 1] << 32 | ids[i], _NONE)
+            if i < len(ranks):
+                ranks[i] = look(ids[i] << 32 | ids[i + 1], _NONE)
         return ids
 
     def _long(self, ids: list[int]) -> list[int]:
@@ -217,13 +232,30 @@ def read_vocabulary(path: str) -> tuple[dict[str, np.ndarray], dict]:
     return {"start": start, "merges": merges, "piece_ends": ends.astype(np.int64), "pieces": np.frombuffer(b"".join(pieces), np.uint8)}, {"special": special}
 
 
+#: The same pattern for texts below U+0250, where letters, digits and white space can be listed; such texts are most.
+_LETTER, _DIGIT, _BLANK = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+_LISTED = re.compile(
+    f" ?[{_LETTER}]++| ?[{_DIGIT}]++|'(?:s|t|re|ve|m|ll|d)| ?[^{_BLANK}{_LETTER}{_DIGIT}]++|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+"
+).findall
+_BEYOND = re.compile("[^\0-\u024f]").search
+_ANY = regex.compile(PATTERN).findall
+
+
+def words_of(text: str) -> list[str]:
+    """The words that PATTERN cuts the text into."""
+    return _ANY(text) if _BEYOND(text) else _LISTED(text)
+
+
 def _cutter(special: Iterable[str]):
-    word = regex.compile(PATTERN).findall
+    word = words_of
     if not special:
         return lambda text: [(None, word(text))]
     parts = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")").split
+    signs = sorted(special)
 
     def cut(text: str) -> list[tuple[str | None, list[str]]]:
+        if not any(s in text for s in signs):
+            return [(None, word(text))]
         pieces = parts(text)
         out = [(None, word(pieces[0]))]
         for token, rest in zip(pieces[1::2], pieces[2::2], strict=True):
@@ -298,10 +330,10 @@ class Coder:
     def merge(self) -> Merges:
         return Merges(self.arrays["start"], self.arrays["merges"])
 
-    def learn(self, words: Iterable[str]) -> None:
+    def learn(self, words: set[str]) -> None:
         if len(self.seen) > HELD_WORDS:
             self.seen = {}
-        new = [w for w in set(words) if w not in self.seen]
+        new = list(words - self.seen.keys())
         raw = [w.encode("utf-8", "replace") for w in new]
         ends, ids = self.arrays["id_ends"], self.arrays["ids"]
         for word, data, at in zip(new, raw, found(self.lexicon, raw).tolist(), strict=True):
@@ -313,7 +345,11 @@ class Coder:
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         cut = [self.cut(t) for t in texts]
-        self.learn(w for parts in cut for _, words in parts for w in words)
+        every: set[str] = set()
+        for parts in cut:
+            for _, words in parts:
+                every.update(words)
+        self.learn(every)
         look = self.seen.__getitem__
         out = []
         for parts in cut:
@@ -348,7 +384,9 @@ def coded(docs: DataFrame, name: str, key: str = "doc_id", text: str = "text", m
             for at in range(0, whole.num_rows, ROWS_AT_ONCE):
                 batch = whole.slice(at, ROWS_AT_ONCE)
                 ids = coder.encode(batch.column(batch.num_columns - 1).to_pylist())
-                columns = [*batch.columns[:-1], pa.array(ids, pa.list_(pa.int32()))]
+                flat = np.fromiter(chain.from_iterable(ids), np.int32)
+                ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+                columns = [*batch.columns[:-1], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
                 names = [*batch.schema.names[:-1], "token_ids"]
                 if decode:
                     columns.append(pa.array(map(coder.decode, ids), pa.string()))

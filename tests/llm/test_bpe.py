@@ -59,3 +59,14 @@ def test_automaton_numbers_words_in_order_and_shares_endings(tmp_path):
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert B.op2_bpe(spark, str(tmp_path)).count() == 0
+
+
+def test_listed_pattern_agrees_with_the_general_one():
+    rnd = random.Random(8)
+    every = [chr(c) for c in range(0x250)]
+    for c in every:
+        for text in (c, f"a{c}b", f" {c}{c} 1", f"'{c}s ", f"  {c}"):
+            assert B._LISTED(text) == B._ANY(text), repr(text)
+    for _ in range(3000):
+        text = "".join(rnd.choice(every + list("  'sntldvem\n\n ab1")) for _ in range(rnd.randint(1, 30)))
+        assert B._LISTED(text) == B._ANY(text), repr(text)
