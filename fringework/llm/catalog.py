@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES = ("simhash", "bpe", "chat", "webp", "warc", "licenses", "toxicity", "url_filters", "fingerprints")
+MODULES = ("simhash", "mixing", "bpe", "chat", "webp", "warc", "licenses", "toxicity", "url_filters", "fingerprints")
 
 
 def queries() -> dict[str, Callable]:
