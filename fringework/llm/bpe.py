@@ -22,6 +22,7 @@ import json
 import os
 import re
 import tempfile
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import cache, cached_property, lru_cache
@@ -34,7 +35,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fringework.llm.shared import shared_dir, table, text_or_empty
+from fringework.llm.shared import shared_dir, table, text_or_empty, written
 
 #: Fixed value: the pattern by which this family of vocabularies cuts text into words.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -42,7 +43,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Words in the lexicon, and the longest one (bytes).
 LEXICON_WORDS, LONGEST_WORD = 100_000, 48
 #: Distinct words a counting task holds before it hands them on, and a coding worker before it starts afresh.
-HELD_WORDS = 500_000
+HELD_WORDS = 350_000
 #: Rows handed on at a time.
 ROWS_AT_ONCE = 256
 
@@ -246,6 +247,12 @@ def words_of(text: str) -> list[str]:
     return _ANY(text) if _BEYOND(text) else _LISTED(text)
 
 
+def pieces_of(arrays: dict[str, np.ndarray]) -> list[bytes]:
+    """The bytes of each id."""
+    ends, data = arrays["piece_ends"].tolist(), arrays["pieces"].tobytes()
+    return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
 def _cutter(special: Iterable[str]):
     word = words_of
     if not special:
@@ -266,7 +273,7 @@ def _cutter(special: Iterable[str]):
 
 
 def frequent_words(docs: DataFrame, text: str = "text", most: int = LEXICON_WORDS, special: Iterable[str] = ()) -> DataFrame:
-    """(word binary, n long): the ``most`` most frequent words over all documents, ties by the word."""
+    """(word binary, n long): the most frequent words over all documents, at most ``most``; words of like counts go in or stay out together."""
     special = tuple(special)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,7 +294,16 @@ def frequent_words(docs: DataFrame, text: str = "text", most: int = LEXICON_WORD
         yield told()
 
     counted = docs.select(text_or_empty(text).alias("t")).mapInArrow(count, "word binary, n long")
-    return counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most)
+    totals = written(counted.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"), "word-counts")
+    # So many classes of like counts; the word lists of tasks need not meet to find where to cut.
+    like = F.floor(F.log2("n") * 64).cast("int")
+    left, cut = most, None
+    for r in sorted(totals.groupBy(like.alias("like")).count().collect(), key=lambda r: -r["like"]):
+        left -= r["count"]
+        if left < 0:
+            break
+        cut = r["like"]
+    return totals.where(like >= cut) if cut is not None else totals.limit(0)
 
 
 def lexicon_file(spark: SparkSession, vocabulary: str, words: list[bytes]) -> str:
@@ -313,17 +329,21 @@ def lexicon_file(spark: SparkSession, vocabulary: str, words: list[bytes]) -> st
 
 
 class Coder:
-    """Encodes and decodes with a mapped file; keeps what it has looked up until it holds too many words."""
+    """Encodes and decodes with a mapped file.
+
+    What it has looked up it keeps in two generations of ``HELD_WORDS``: words that
+    come again stay, others go with the older one. Ids are packed 32-bit numbers.
+    """
 
     def __init__(self, path: str) -> None:
         self.arrays, meta = load(path)
-        self.special = meta["special"]
+        self.special = {t: np.int32(i).tobytes() for t, i in meta["special"].items()}
         self.cut = _cutter(self.special)
         self.lexicon = {k[4:]: v for k, v in self.arrays.items() if k.startswith("lex_")}
-        ends = self.arrays["piece_ends"].tolist()
-        data = self.arrays["pieces"].tobytes()
-        self.pieces = [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-        self.seen: dict[str, tuple[int, ...]] = {}
+        self.pieces = pieces_of(self.arrays)
+        self.piece_objects = np.array(self.pieces, dtype=object)
+        self.seen: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.merged = 0
 
     @cached_property
@@ -332,18 +352,24 @@ class Coder:
 
     def learn(self, words: set[str]) -> None:
         if len(self.seen) > HELD_WORDS:
-            self.seen = {}
-        new = list(words - self.seen.keys())
+            self.seen, self.older = {}, self.seen
+        new = words - self.seen.keys()
+        if self.older:
+            again = new & self.older.keys()
+            self.seen.update((w, self.older[w]) for w in again)
+            new -= again
+        new = list(new)
         raw = [w.encode("utf-8", "replace") for w in new]
         ends, ids = self.arrays["id_ends"], self.arrays["ids"]
         for word, data, at in zip(new, raw, found(self.lexicon, raw).tolist(), strict=True):
             if at >= 0:
-                self.seen[word] = tuple(ids[ends[at - 1] if at else 0 : ends[at]].tolist())
+                self.seen[word] = ids[ends[at - 1] if at else 0 : ends[at]].tobytes()
             else:
                 self.merged += 1
-                self.seen[word] = tuple(self.merge.ids(data))
+                self.seen[word] = array("i", self.merge.ids(data)).tobytes()
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The packed ids of each text."""
         cut = [self.cut(t) for t in texts]
         every: set[str] = set()
         for parts in cut:
@@ -351,19 +377,10 @@ class Coder:
                 every.update(words)
         self.learn(every)
         look = self.seen.__getitem__
-        out = []
-        for parts in cut:
-            ids: list[int] = []
-            for token, words in parts:
-                if token is not None:
-                    ids.append(self.special[token])
-                else:
-                    ids.extend(chain.from_iterable(map(look, words)))
-            out.append(ids)
-        return out
+        return [b"".join(chain.from_iterable((self.special[token],) if token is not None else map(look, words) for token, words in parts)) for parts in cut]
 
-    def decode(self, ids: Iterable[int]) -> str:
-        return b"".join(map(self.pieces.__getitem__, ids)).decode("utf-8", "replace")
+    def decode(self, packed: bytes) -> str:
+        return b"".join(self.piece_objects[np.frombuffer(packed, np.int32)].tolist()).decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=2)
@@ -384,8 +401,8 @@ def coded(docs: DataFrame, name: str, key: str = "doc_id", text: str = "text", m
             for at in range(0, whole.num_rows, ROWS_AT_ONCE):
                 batch = whole.slice(at, ROWS_AT_ONCE)
                 ids = coder.encode(batch.column(batch.num_columns - 1).to_pylist())
-                flat = np.fromiter(chain.from_iterable(ids), np.int32)
-                ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+                flat = np.frombuffer(b"".join(ids), np.int32)
+                ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
                 columns = [*batch.columns[:-1], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
                 names = [*batch.schema.names[:-1], "token_ids"]
                 if decode:

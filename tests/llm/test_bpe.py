@@ -70,3 +70,16 @@ def test_listed_pattern_agrees_with_the_general_one():
     for _ in range(3000):
         text = "".join(rnd.choice(every + list("  'sntldvem\n\n ab1")) for _ in range(rnd.randint(1, 30)))
         assert B._LISTED(text) == B._ANY(text), repr(text)
+
+
+def test_forgetting_words_changes_nothing(tmp_path, monkeypatch, library):
+    monkeypatch.setattr(B, "HELD_WORDS", 5)
+    arrays, meta = B.read_vocabulary(B.default_vocabulary())
+    arrays |= {f"lex_{k}": v for k, v in B.compiled([b" a"]).items()} | {"ids": B.np.array([257], B.np.int32), "id_ends": B.np.array([1], B.np.int64)}
+    B.save(f"{tmp_path}/f", arrays, meta)
+    coder = B.Coder(f"{tmp_path}/f")
+    rnd = random.Random(6)
+    for _ in range(60):
+        texts = [" ".join(rnd.choice(["a", "bc", "the", "zq", "42", "x'y", "tion"]) for _ in range(6)) for _ in range(3)]
+        got = [B.np.frombuffer(x, B.np.int32).tolist() for x in coder.encode(texts)]
+        assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
