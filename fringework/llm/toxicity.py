@@ -195,16 +195,20 @@ def fitted(sample: list[tuple[str, int]], ordinary_share: float = 1.0) -> Model:
 
 def training_sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> tuple[list[tuple[str, int]], float]:
     """The bounded sample in the order of the key's MD5, and the weight of its ordinary rows; held-out rows never enter."""
-    order = F.md5(F.col(key).cast("string"))
     told = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(F.col(key))).groupBy(key).agg(F.max(label).alias("_y"))
-    rows = docs.where(F.length(text) <= SAMPLE_CHARS).select(key, F.col(text).alias("_t")).join(told, key).withColumn("_o", order)
-    drawn = []
-    for y, most in ((1, TOXIC_ROWS), (0, ORDINARY_ROWS)):
-        mine = rows.where(F.col("_y") == y).orderBy("_o", "_t").limit(most)
-        drawn.append([(r["_o"], r["_t"], y) for r in mine.collect()])
     total = {r["_y"]: r["count"] for r in told.groupBy("_y").count().collect()}
-    per = [total.get(y, 0) / max(1, len(d)) for y, d in ((1, drawn[0]), (0, drawn[1]))]
-    return [(t, y) for _, t, y in sorted(drawn[0] + drawn[1])], per[1] / max(per[0], 1e-9)
+    most = {1: TOXIC_ROWS, 0: ORDINARY_ROWS}
+    order = F.md5(F.col(key).cast("string"))
+    # Of n rows those whose MD5 lies in the lowest share most / n are drawn: about as many as wanted, so they may be broadcast.
+    place = F.conv(F.substring("_o", 1, 13), 16, 10).cast("double") / float(1 << 52)
+    share = {y: min(1.0, m / max(1, total.get(y, 0))) for y, m in most.items()}
+    drawn = told.withColumn("_o", order).where(place < F.when(F.col("_y") == 1, share[1]).otherwise(share[0]))
+    rows = docs.where(F.length(text) <= SAMPLE_CHARS).select(key, F.col(text).alias("_t")).join(F.broadcast(drawn), key)
+    # One text a key, however often the key stands in the table.
+    got = sorted((r["_o"], r["_t"], r["_y"]) for r in rows.groupBy(key, "_o", "_y").agg(F.min("_t").alias("_t")).collect())
+    sample = [[(o, t, y) for o, t, y in got if y == c][: most[c]] for c in (1, 0)]
+    per = [total.get(c, 0) / max(1, len(part)) for c, part in zip((1, 0), sample, strict=True)]
+    return [(t, y) for _, t, y in sorted(sample[0] + sample[1])], per[1] / max(per[0], 1e-9)
 
 
 def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", *more: str) -> DataFrame:
