@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from fringework.functions import kernels as K
+from fringework.functions import triangles as M
 from fringework.operators import geometry as T
 from fringework.operators import interferometry as I
 from fringework.operators import slip as P
@@ -110,3 +111,22 @@ def slip_solve(spark, sf_dir):
 def l_curve(spark, sf_dir):
     rows = P.l_curve(_equations(spark, sf_dir), NEIGHBOURS, [0.1, 1.0, 10.0, 100.0])
     return spark.createDataFrame([(r["smoothing"], r["misfit"], r["roughness"], r["variance_reduction"], r["nit"], r["status"] == 1) for r in rows], "smoothing double, misfit double, roughness double, variance_reduction double, nit long, converged boolean")
+
+
+@query("")
+def surface_displacement(spark, sf_dir):
+    """East, north, up on the scene's lattice for a triangulated fault with tapered left-lateral slip."""
+    mesh = M.Mesh.dipping(np.array([[300.0, -200.0], [650.0, -800.0]]), 400.0, 150.0, 70.0, top=20.0)
+    m = len(mesh.triangles)
+    slip = np.r_[np.linspace(0.2, 1.0, m), np.zeros(m)]
+
+    def run(frames):
+        for f in frames:
+            px, py = f["x"].to_numpy(float), f["y"].to_numpy(float)
+            total = np.zeros((len(f), 3))
+            for k, c in enumerate(mesh.corners()):
+                total += M.triangle_response(px, py, c) @ np.array([slip[k], slip[m + k]])
+            yield f.assign(ux=total[:, 0], uy=total[:, 1], uz=total[:, 2])
+
+    points = R.scene(spark, sf_dir).select("yi", "xi", (F.col("xi") * 10.0).alias("x"), (F.col("yi") * -10.0).alias("y"))
+    return rounded(points.mapInPandas(run, "yi long, xi long, x double, y double, ux double, uy double, uz double"), "ux", "uy", "uz")

@@ -120,3 +120,24 @@ def read_grids(spark: SparkSession, paths: str) -> DataFrame:
                     yield pd.DataFrame({"path": path, "yi": yi.ravel() + at, "xi": xi.ravel(), "y": y[yi.ravel() + at], "x": x[xi.ravel()], "z": part.ravel()})
 
     return files.mapInPandas(run, "path string, yi long, xi long, y double, x double, z double")
+
+
+def write_grids(pixels: DataFrame, folder: str, x0: float, dx: float, y0: float, dy: float, ny: int, nx: int, value: str = "z", by: str = "layer") -> DataFrame:
+    """One grid file for each layer, written by the task that holds it; (layer, path, bytes). Void pixels are NaN."""
+    import pandas as pd
+    import pyarrow.fs
+
+    kind = dict(pixels.dtypes)[by]
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        z = np.full((ny, nx), np.nan, np.float32)
+        z[pdf["yi"].to_numpy(), pdf["xi"].to_numpy()] = pdf[value].to_numpy(float)
+        data = compose({"y": (("y",), y0 + dy * np.arange(ny)), "x": (("x",), x0 + dx * np.arange(nx)), "z": (("y", "x"), z)})
+        files, base = pyarrow.fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        files.create_dir(base, recursive=True)
+        path = f"{base}/{value}_{by}{key[0]}.grd"
+        with files.open_output_stream(path) as f:
+            f.write(data)
+        return pd.DataFrame({by: [key[0]], "path": [path], "bytes": [len(data)]})
+
+    return pixels.groupBy(by).applyInPandas(run, f"{by} {kind}, path string, bytes long")

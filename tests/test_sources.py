@@ -17,6 +17,14 @@ def test_grid_round_trip(spark, tmp_path):
         grids.parse(b"\x89HDF")
 
 
+def test_grids_are_written_by_layer(spark, tmp_path):
+    df = spark.createDataFrame([(k, y, x, float(k + y + x)) for k in (0, 1) for y in range(3) for x in range(2) if y + x], "layer long, yi long, xi long, z double")
+    made = grids.write_grids(df, str(tmp_path / "g"), 0.0, 2.0, 10.0, -1.0, 3, 2).collect()
+    assert len(made) == 2
+    back = grids.parse((tmp_path / "g" / "z_layer1.grd").read_bytes())
+    assert np.isnan(back["z"][1][0, 0]) and back["z"][1][2, 1] == 4.0 and back["y"][1].tolist() == [10.0, 9.0, 8.0]
+
+
 def test_granule_reads_by_chunk(spark, tmp_path):
     rnd = np.random.default_rng(0)
     image = (rnd.normal(size=(70, 90)) + 1j * rnd.normal(size=(70, 90))).astype(np.complex64)
