@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fringework.operators.graph import components as graph_components
 from fringework.storage import written
 
 
@@ -63,8 +64,8 @@ def components(pixels: DataFrame, value: str, connectivity: int = 1) -> DataFram
     """(yi, xi, component): connected valid pixels; the component is the least row-major index of its pixels.
 
     Rows are cut into runs first (a window), runs that touch are linked (an
-    equi-join on neighbouring rows), and labels spread over the run graph, which
-    is far smaller than the raster, until nothing changes.
+    equi-join on neighbouring rows), and the components of the run graph, which
+    is far smaller than the raster, are the components of the raster.
     """
     reach = 0 if connectivity == 1 else 1
     valid = pixels.where(F.col(value).isNotNull()).select("yi", "xi")
@@ -75,19 +76,9 @@ def components(pixels: DataFrame, value: str, connectivity: int = 1) -> DataFram
     runs = written(runs, "runs")
     below = runs.select((F.col("yi") - 1).alias("yi"), F.col("x0").alias("bx0"), F.col("x1").alias("bx1"), F.col("run").alias("below"))
     touch = runs.join(below, "yi").where((F.col("bx0") <= F.col("x1") + reach) & (F.col("bx1") >= F.col("x0") - reach))
-    edges = touch.select(F.col("run").alias("a"), F.col("below").alias("b"))
-    edges = written(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "run-edges")
-    label = runs.select("run", F.col("run").alias("label"))
-    while True:
-        near = edges.join(label.withColumnRenamed("run", "b"), "b").groupBy("a").agg(F.min("label").alias("least"))
-        step = label.join(near, label["run"] == near["a"], "left").select("run", F.least("label", F.coalesce("least", "label")).alias("label"))
-        # A label is itself a run: take on what that run has learnt.
-        jump = step.select(F.col("run").alias("_r"), F.col("label").alias("_l"))
-        after = written(step.join(jump, step["label"] == jump["_r"], "left").select("run", F.least("label", F.coalesce("_l", "label")).alias("label")), "run-labels")
-        settled = after.join(label.withColumnRenamed("label", "_old"), "run").where("label <> _old").isEmpty()
-        label = after
-        if settled:
-            break
+    linked = graph_components(touch.select(F.col("run").alias("a"), F.col("below").alias("b")))
+    # The numbers of runs ascend with their places, so the least run of a component holds its first pixel.
+    label = runs.select("run").join(linked, runs["run"] == linked["node"], "left").select("run", F.coalesce("component", "run").alias("label"))
     spread = runs.join(label, "run").select("yi", F.explode(F.sequence("x0", "x1")).alias("xi"), "label")
     return spread.select("yi", "xi", F.col("label").alias("component"))
 
