@@ -1,47 +1,21 @@
-"""Tables in the folder that driver and executors share, and small helpers."""
+"""Small helpers of the corpus operators."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_SETTING = "spark.checkpoint.dir"
+from fringework.storage import dropped, shared_dir, written
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a local one is made only where it is unset."""
-    found = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='fringework-shared-')}"
-        spark.conf.set(_SETTING, found)
-    return found.rstrip("/")
+__all__ = ["dropped", "fresh_path", "shared_dir", "shuffle_width", "table", "text_or_empty", "written"]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/fringework/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def dropped(spark: SparkSession, df: DataFrame) -> None:
-    """Deletes the files of a table made by :func:`written` that is no longer read."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/fringework/" in name:
-            path = jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(conf).delete(path, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

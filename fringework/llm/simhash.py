@@ -32,8 +32,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fringework.llm.components import components
-from fringework.llm.shared import dropped, shuffle_width, table, text_or_empty, written
+from fringework.operators.graph import components
+from fringework.llm.shared import shuffle_width, table, text_or_empty, written
 
 SHINGLE_WORDS = 3
 SEED = 42

@@ -4,7 +4,7 @@ import numpy as np
 import xxhash
 
 from fringework.llm import simhash as S
-from fringework.llm.components import components
+from fringework.operators.graph import components
 
 
 def plain(text):
