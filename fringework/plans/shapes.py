@@ -107,18 +107,18 @@ def lumped_areas(spark, sf_dir):
 
 
 @query(f"""
-WITH {SCENE_SQL}, n AS (SELECT max(yi) + 1 AS n FROM scene), o AS (SELECT unnest(generate_series(0, n - 32, 8)) AS origin FROM n UNION SELECT n - 32 FROM n)
+WITH {SCENE_SQL}, n AS (SELECT max(xi) + 1 AS n FROM scene), o AS (SELECT unnest(generate_series(0, n - 32, 8)) AS origin FROM n UNION SELECT n - 32 FROM n)
 SELECT row_number() OVER (ORDER BY origin) - 1 AS i, origin::BIGINT AS origin FROM o""")
 def patch_origins(spark, sf_dir):
-    n = _size(spark, sf_dir, "events", "event_id", SCENE_WIDTH)[0]
+    n = R.scene(spark, sf_dir).agg(F.max("xi")).first()[0] + 1
     return spark.createDataFrame(list(enumerate(T.patch_origins(n, 32, 8))), "i long, origin long")
 
 
 @query(f"""
-WITH {SCENE_SQL}, n AS (SELECT max(yi) + 1 AS n FROM scene), s AS (SELECT (n - 24 - 3) // 6 AS gap FROM n)
+WITH {SCENE_SQL}, n AS (SELECT max(xi) + 1 AS n FROM scene), s AS (SELECT (n - 24 - 3) // 6 AS gap FROM n)
 SELECT i::BIGINT AS i, (3 + i * gap)::BIGINT AS origin, (3 + i * gap + 12)::BIGINT AS centre FROM s, range(0, 7) AS r(i)""")
 def offset_lattice(spark, sf_dir):
-    n = _size(spark, sf_dir, "events", "event_id", SCENE_WIDTH)[0]
+    n = R.scene(spark, sf_dir).agg(F.max("xi")).first()[0] + 1
     return spark.createDataFrame([(i, o, o + 12) for i, o in enumerate(T.offset_locations(n, 24, count=7, shift=-3))], "i long, origin long, centre long")
 
 
