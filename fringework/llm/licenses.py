@@ -13,9 +13,10 @@ is kept. Extra columns are ignored. Empty tables give no rows.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fringework.llm.shared import table, written
@@ -82,20 +83,25 @@ _MARKS = r"^[ \t]*(?:[0-9]{1,2}[.)]|[a-z][)]|[-*•])[ \t]+"
 _PUNCTUATION = r"[^\p{L}\p{N}]+"
 
 
-def canonical(text: Column) -> Column:
-    """Lower case, no copyright lines or list marks, one spelling, words with single spaces."""
-    out = F.lower(text)
+#: Whether any of the spellings stands in a text; most texts have none and skip the replacements.
+_ANY_SPELLING = "|".join(re.escape(there) for there, _ in EQUIVALENT)
+
+
+def with_canonical(df: DataFrame, text: str) -> DataFrame:
+    """``df`` with _plain: lower case, no copyright lines or list marks, one spelling, words with single spaces."""
+    low = F.lower(F.col(text))
     for pattern in (_COPYRIGHT, _MARKS):
-        out = F.regexp_replace(out, f"(?md){pattern}", " ")
+        low = F.regexp_replace(low, f"(?md){pattern}", " ")
+    spelt = F.col("_low")
     for there, here in EQUIVALENT:
-        out = F.replace(out, F.lit(there), F.lit(here))
-    return F.trim(F.regexp_replace(out, _PUNCTUATION, " "))
+        spelt = F.replace(spelt, F.lit(there), F.lit(here))
+    chosen = F.when(F.col("_low").rlike(_ANY_SPELLING), spelt).otherwise(F.col("_low"))
+    return df.withColumn("_low", low).withColumn("_plain", F.trim(F.regexp_replace(chosen, _PUNCTUATION, " "))).drop("_low")
 
 
 def with_digest(df: DataFrame, text: str) -> DataFrame:
     """``df`` with the SHA-256 of the canonical text; null where no letter or digit is left."""
-    plain = df.withColumn("_plain", canonical(F.col(text)))
-    return plain.withColumn("digest", F.when(F.col("_plain") != "", F.sha2("_plain", 256))).drop("_plain")
+    return with_canonical(df, text).withColumn("digest", F.when(F.col("_plain") != "", F.sha2("_plain", 256))).drop("_plain")
 
 
 def known_digests(spark: SparkSession, known: Sequence[tuple[str, str]] = KNOWN) -> DataFrame:
