@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fringework.llm import bpe, mixing, simhash, toxicity
+from fringework.llm import bpe, jaccard, mixing, toxicity
 from fringework.llm.shared import table, written
 
 
@@ -20,8 +20,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, the one with the least id."""
-    return simhash.kept(docs)
+    """One document of each near-duplicate group (five-word runs, likeness of at least 0.8) stays, the one with the least id."""
+    return jaccard.kept(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ STAGES = [
     ("bpe", encode_tokens),
 ]
 
-#: Compression lengths, XXH64 with a seed and BPE have no SQL; the tests compare with a brute-force version.
+#: Compression lengths, MinHash bands and BPE have no SQL; the tests compare with a brute-force version.
 ORACLE_SQL = None
 
 
