@@ -191,7 +191,10 @@ SELECT bin, sum(CASE WHEN side = 1 THEN n ELSE 0 END)::BIGINT AS left_side, sum(
 FROM placed GROUP BY bin""")
 def coverage_profile(spark, sf_dir):
     b = _blocks(spark, sf_dir).withColumn("side", F.when(F.col("bx") < 12, 1).otherwise(-1))
-    return rounded(S.coverage(b, "by_", "side", 0.0, 24.0, 10), "balance")
+    # Bins are 2.4 block rows wide at every size; the range goes on to the last block row.
+    last = _size(spark, sf_dir, "events", "event_id", SCENE_WIDTH)[0] // 4 - 1
+    parts = max(1, -(-last // 24))
+    return rounded(S.coverage(b, "by_", "side", 0.0, 24.0 * parts, 10 * parts), "balance")
 
 
 @query(f"""
