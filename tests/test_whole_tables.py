@@ -25,3 +25,35 @@ def test_the_profile_covers_every_block_row(spark, scene):
     # The last block row, 49, lies below the end of its bin, so no bin is closed.
     got = {r.bin: [r.left_side, r.right_side] for r in registry.queries()["coverage_profile"](spark, sf).collect()}
     assert got == want and sum(map(sum, got.values())) == len(valid)
+
+
+def flooded(valid, reach):
+    """Brute force: {pixel: least row-major index of its component}."""
+    label = {}
+    for first in sorted(valid):
+        if first in label:
+            continue
+        label[first], todo = first, [first]
+        while todo:
+            y, x = todo.pop()
+            for p in reach:
+                near = (y + p[0], x + p[1])
+                if near in valid and near not in label:
+                    label[near] = first
+                    todo.append(near)
+    return label
+
+
+@pytest.mark.parametrize("name,least", [("largest_component", None), ("components_over_size", 6)])
+def test_components_of_every_valid_pixel(spark, scene, name, least):
+    sf, valid = scene
+    label = flooded(valid, [(0, 1), (1, 0), (0, -1), (-1, 0)])
+    sizes = {}
+    for first in label.values():
+        sizes[first] = sizes.get(first, 0) + 1
+    largest = max(sizes, key=lambda c: (sizes[c], -c[0], -c[1]))
+    assert {p[0] for p, c in label.items() if c == largest} == set(range(200))  # it spans the raster
+    keep = {c for c in sizes if (c == largest if least is None else sizes[c] > least)}
+    got = registry.queries()[name](spark, sf).collect()
+    assert len(got) == 20_000
+    assert {(r.yi, r.xi): r.v for r in got if r.v is not None} == {p: valid[p] for p, c in label.items() if c in keep}
