@@ -10,11 +10,12 @@ and comparing their ends). A template whose output does not begin with its forme
 output rewrites history; the turn where it first does is reported, and so are
 assistant turns whose span cannot be located.
 
-Prefixes of up to ``PREFIX_TURNS`` turns are rendered as they stand. Longer
-conversations go on from a prefix of the last ``CONTEXT_TURNS`` turns, whose own
-rendering is compared with the same turns' spans, so the work for a turn does not
-grow with the conversation; a template for which these differ is reported as
-rewriting. Turns are streamed, and only those of the window are held.
+Every prefix is rendered as it stands, so a template's work grows with the square
+of a conversation. A template that its caller declares ``context_free`` (a turn's
+piece depends on that turn alone) is rendered so for ``PREFIX_TURNS`` turns and
+then goes on from a prefix of the last ``CONTEXT_TURNS`` turns, whose own
+rendering is compared with the same turns' spans; if these differ it is reported
+as rewriting. Only the turns of the window are held then.
 
 Cases: null texts and roles count as empty; a null turn number comes first; ties
 in the turn number are ordered by role and text, and repeated rows are turns of
@@ -87,9 +88,9 @@ def _common_end(a: str, b: str) -> int:
 
 
 class Incremental:
-    """Renders a conversation turn by turn; holds the turns of its window only."""
+    """Renders a conversation turn by turn; from ``prefix`` turns on, if given, it holds the turns of a window only."""
 
-    def __init__(self, render: Render, learned: str = "assistant", prefix: int = PREFIX_TURNS, context: int = CONTEXT_TURNS) -> None:
+    def __init__(self, render: Render, learned: str = "assistant", prefix: int | None = None, context: int = CONTEXT_TURNS) -> None:
         self.render, self.learned, self.prefix, self.context = render, learned, prefix, context
         self.window: list[Message] = []
         self.spans: list[str] = []
@@ -113,7 +114,7 @@ class Incremental:
 
     def turn(self, role: str, text: str) -> Turn:
         rewrites = False
-        if len(self.window) >= self.prefix:
+        if self.prefix is not None and len(self.window) >= self.prefix:
             # Go on from the last turns: alone they must render as they did in place.
             kept = self.window[-self.context :]
             again = self.render(kept, False)
@@ -136,13 +137,15 @@ class Incremental:
         return Turn(piece, low, high, rewrites or not same)
 
 
-def formatted(rows: DataFrame, render: Render = marked_turns, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+def formatted(rows: DataFrame, render: Render = marked_turns, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", context_free: bool = False) -> DataFrame:
     """A row per turn: conv_id, seq, piece, low, high, rewrites.
 
     A conversation's output is its pieces in the order of ``seq``; ``low`` and
     ``high`` bound the loss mask within the piece. The template's output for no
-    turns, if any, stands before the first piece.
+    turns, if any, stands before the first piece. ``context_free`` declares that a
+    turn's piece depends on that turn alone, so long conversations need no whole prefixes.
     """
+    prefix = PREFIX_TURNS if context_free else None
     inputs = rows.select(F.col(conv).cast("long").alias("conv_id"), F.col(turn).alias("_turn"), F.coalesce(F.col(role), F.lit("")).alias("_role"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     dealt = inputs.repartition(shuffle_width(rows.sparkSession), "conv_id").sortWithinPartitions("conv_id", "_turn", "_role", "_text")
 
@@ -159,7 +162,7 @@ def formatted(rows: DataFrame, render: Render = marked_turns, conv: str = "conv_
         for batch in batches:
             for conv_id, _, role_, text_ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if first or conv_id != now:
-                    now, first, seq, state = conv_id, False, 0, Incremental(render)
+                    now, first, seq, state = conv_id, False, 0, Incremental(render, prefix=prefix)
                 t = state.turn(role_, text_)
                 ahead = state.opening if seq == 0 else ""
                 shift = len(ahead)
@@ -236,7 +239,8 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
     more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     # Pieces leave ``formatted`` in order and by conversation, so reading back needs no further exchange.
-    return read_back(formatted(rows.unionByName(more)))
+    # ``marked_turns`` joins its turns' own pieces, so it is context-free.
+    return read_back(formatted(rows.unionByName(more), context_free=True))
 
 
 QUERIES = {"op6_chat": op6_chat}

@@ -65,3 +65,17 @@ def test_mask_of_an_unknown_template():
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     assert [r.conv_id for r in C.op6_chat(spark, str(tmp_path)).collect()] == [-1]
+
+
+def keeps_the_last_40(messages, prompt=False):
+    return C.marked_turns(messages[-40:], prompt)
+
+
+def test_long_conversations_are_rendered_in_true_context(spark):
+    turns = [("assistant" if i % 2 else "user", f"text {i}") for i in range(60)]
+    rows = spark.createDataFrame([(1, i, r, t) for i, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    got = sorted(C.formatted(rows, numbered).collect(), key=lambda r: r.seq)
+    assert "".join(r.piece for r in got) == numbered(turns) and not any(r.rewrites for r in got)
+    assert [r.piece[r.low : r.high] for r in got if r.low >= 0] == [t for r, t in turns if r == "assistant"]
+    got = sorted(C.formatted(rows, keeps_the_last_40).collect(), key=lambda r: r.seq)
+    assert [r.rewrites for r in got] == [i >= 40 for i in range(60)]
