@@ -84,7 +84,9 @@ def url_parts(url: Column) -> tuple[Column, Column, Column]:
 
 
 def _tokens(target: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(target), F.lit("([a-z0-9]+)"), F.lit(1)))
+    # Expressions take a capital for the edge of a word, so runs are cut from the target as it stands too.
+    runs = [F.regexp_extract_all(t, F.lit("([a-z0-9]+)"), F.lit(1)) for t in (target, F.lower(target))]
+    return F.array_union(*runs)
 
 
 def rarest_tokens(targets: DataFrame, rules: Sequence[PatternRule]) -> dict[str, int]:

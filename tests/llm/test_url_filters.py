@@ -54,3 +54,20 @@ def test_index_loses_no_match(spark):
 
 def test_empty(spark):
     assert U.judged(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_capitals_lose_no_rule(spark, tmp_path):
+    """The twin runs every rule on every URL."""
+    import duckdb
+
+    paths = ["MYcasino/", "casinoX", "Casino/", "CASINO", "Xfree-betsY", "free-Bets", "a?Phpsessid=0", "a?X&phpsessid=0f", "PIXEL.gif", "pixel.gif?A"]
+    urls = [(i, f"http://a.com/{p}") for i, p in enumerate(paths)] + [(100, "http://ADS.a.com/x"), (101, "http://b.NET/MYcasino")]
+    df = spark.createDataFrame(urls, "page_id long, url string")
+    df.write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = sorted(con.execute(f"SELECT page_id, verdict, rule, pattern FROM ({U.ORACLE_SQL['op9_url_filters']})").fetchall())
+    assert want[0][1] == "block"
+    for literal in (1_000, 0):
+        got = U.judged(df, literal_rules=literal).select("page_id", "verdict", "rule", "pattern").collect()
+        assert sorted(map(tuple, got)) == want
