@@ -443,11 +443,20 @@ def unwrapped(stored: bytes) -> Iterator[bytes]:
     """The VP8L streams of one or more RIFF files that stand one after another."""
     at = 0
     while at < len(stored):
-        if stored[at : at + 4] != b"RIFF" or stored[at + 8 : at + 16] != b"WEBPVP8L":
+        if stored[at : at + 4] != b"RIFF" or stored[at + 8 : at + 12] != b"WEBP":
+            raise ValueError("not a WebP file")
+        end = at + 8 + int.from_bytes(stored[at + 4 : at + 8], "little")
+        chunk, found = at + 12, False
+        # An extended file has other chunks beside the stream; a chunk has an even number of bytes.
+        while chunk + 8 <= end:
+            size = int.from_bytes(stored[chunk + 4 : chunk + 8], "little")
+            if stored[chunk : chunk + 4] == b"VP8L":
+                found = True
+                yield stored[chunk + 8 : chunk + 8 + size]
+            chunk += 8 + size + (size & 1)
+        if not found:
             raise ValueError("not a lossless WebP file")
-        size = int.from_bytes(stored[at + 16 : at + 20], "little")
-        yield stored[at + 20 : at + 20 + size]
-        at += 8 + int.from_bytes(stored[at + 4 : at + 8], "little")
+        at = end
 
 
 def wrapped(stream: bytes) -> bytes:

@@ -198,3 +198,11 @@ def test_query(spark, tmp_path):
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert W.op7_webp(spark, str(tmp_path)).count() == 0
+
+
+def test_extended_containers_are_read():
+    stream = W.encode_image(np.arange(12, dtype=np.uint8), 2)
+    chunk = lambda kind, body: kind + len(body).to_bytes(4, "little") + body + b"\0" * (len(body) & 1)
+    body = b"WEBP" + chunk(b"VP8X", bytes(10)) + chunk(b"ICCP", b"odd") + chunk(b"VP8L", stream) + chunk(b"EXIF", b"x")
+    extended = b"RIFF" + len(body).to_bytes(4, "little") + body
+    assert list(W.unwrapped(extended + W.wrapped(stream))) == [stream, stream]
