@@ -77,9 +77,9 @@ def dip_offset(depth: Column, dip: Column) -> Column:
 
 
 def patch_origins(n: int, patch: int, step: int) -> list[int]:
-    """0, step, ... and a last patch flush with the edge."""
+    """0, step, ... and a last patch flush with the edge; none where the patch does not fit."""
     out = list(range(0, n - patch + 1, step))
-    if out[-1] != n - patch:
+    if out and out[-1] != n - patch:
         out.append(n - patch)
     return out
 
