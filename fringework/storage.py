@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,9 +12,12 @@ _SETTING = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a local one is made only where it is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``; a local one is made only where it is unset and all runs in one process."""
     found = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING)
     if not found:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"{_SETTING} is unset: with master {master} the executors need a folder that all of them see")
         found = f"file://{tempfile.mkdtemp(prefix='fringework-shared-')}"
         spark.conf.set(_SETTING, found)
     return found.rstrip("/")
