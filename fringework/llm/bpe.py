@@ -35,7 +35,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fringework.llm.shared import shared_dir, table, text_or_empty, written
+from fringework.llm.shared import dropped, free_names, given_back, shared_dir, table, text_or_empty, written
 
 #: Fixed value: the pattern by which this family of vocabularies cuts text into words.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -43,7 +43,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Words in the lexicon, and the longest one (bytes).
 LEXICON_WORDS, LONGEST_WORD = 100_000, 48
 #: Distinct words a counting task holds before it hands them on, and a coding worker before it starts afresh.
-HELD_WORDS = 350_000
+HELD_WORDS = 200_000
 #: Rows handed on at a time.
 ROWS_AT_ONCE = 256
 
@@ -292,6 +292,7 @@ def frequent_words(docs: DataFrame, text: str = "text", most: int = LEXICON_WORD
                 if len(seen) > HELD_WORDS:
                     yield told()
         yield told()
+        given_back()
 
     counted = docs.select(text_or_empty(text).alias("t")).mapInArrow(count, "word binary, n long")
     totals = written(counted.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"), "word-counts")
@@ -383,17 +384,18 @@ class Coder:
         return b"".join(self.piece_objects[np.frombuffer(packed, np.int32)].tolist()).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _coder(path: str) -> Coder:
     return Coder(path)
 
 
 def coded(docs: DataFrame, name: str, key: str = "doc_id", text: str = "text", more: tuple[str, ...] = (), decode: bool = True) -> DataFrame:
-    """key, columns in ``more``, token_ids array<int>, and decoded_text made from those ids."""
-    inputs = docs.select(F.col(key), *more, text_or_empty(text).alias("_text"))
-    outputs = inputs.drop("_text").withColumn("token_ids", F.array(F.lit(0)))
+    """key, columns in ``more``, token_ids array<int>, and decoded_text made from those ids; a name that stands in ``more`` gets a leading underscore."""
+    held, *made = free_names([key, *more], "text", "token_ids", "decoded_text")
+    inputs = docs.select(F.col(key), *more, text_or_empty(text).alias(held))
+    outputs = inputs.drop(held).withColumn(made[0], F.array(F.lit(0)))
     if decode:
-        outputs = outputs.withColumn("decoded_text", F.lit(""))
+        outputs = outputs.withColumn(made[1], F.lit(""))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(SparkFiles.get(name))
@@ -404,11 +406,12 @@ def coded(docs: DataFrame, name: str, key: str = "doc_id", text: str = "text", m
                 flat = np.frombuffer(b"".join(ids), np.int32)
                 ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
                 columns = [*batch.columns[:-1], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
-                names = [*batch.schema.names[:-1], "token_ids"]
+                names = [*batch.schema.names[:-1], made[0]]
                 if decode:
                     columns.append(pa.array(map(coder.decode, ids), pa.string()))
-                    names.append("decoded_text")
+                    names.append(made[1])
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+        given_back()
 
     return inputs.mapInArrow(run, outputs.schema)
 

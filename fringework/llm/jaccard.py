@@ -1,18 +1,18 @@
-"""Near duplicates by the Jaccard likeness of their sets of five-word runs.
+"""Links between sets of five-word runs whose Jaccard likeness is at least 0.8.
 
-Two texts link when their sets' likeness is at least 0.8. Candidates share a
-MinHash band (24 bands of 5 values: a pair at 0.8 is found with probability
-0.9999, a likelier one with more), and every candidate's whole sets are compared.
+Sets that share a bucket are compared with their whole members. Buckets are
+MinHash bands (24 bands of 5 values: a pair at 0.8 shares one with probability
+0.9999, a likelier one with more) and whatever else the caller adds.
 
-Equal sets are one row before anything is compared. A band's bucket that holds
-much is dealt in shards: its rows are each home in one and are sent to all, so
-every pair meets and no task holds a whole bucket. Within a bucket, a row whose
-component already holds all the others is not compared again. Links of a batch
-are cut to a spanning forest before they leave a task.
+Equal sets are one row before anything is compared. A bucket that holds much is
+dealt in shards: its rows are each home in one and are sent to all, so every pair
+meets and no task holds a whole bucket. Within a bucket, a row whose component
+already holds all the others is not compared again. Links of a batch are cut to
+a spanning forest before they leave a task.
 
 Cases: null or empty texts, and texts of white space only, have one common set;
 texts under five words have the run of all their words. Letters of ASCII are
-lower-cased. Extra columns are carried along. Empty tables give no rows.
+lower-cased. Very long texts are hashed in blocks. Empty tables give no links.
 """
 
 from __future__ import annotations
@@ -25,9 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fringework.llm.shared import shuffle_width, text_or_empty, written
-from fringework.llm.simhash import forest
-from fringework.operators.graph import components
+from fringework.llm.shared import forest, given_back, shuffle_width, written
 
 RUN_WORDS = 5
 BANDS, BAND_VALUES = 24, 5
@@ -70,21 +68,10 @@ def bands(x: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(rows[b].tobytes(), b) for b in range(BANDS)]
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, sizes, found = [], [], []
-        for text in batch.column(2):
-            x = members(text.as_py())
-            ids.append(xxhash.xxh64_intdigest(x.tobytes()))
-            sizes.append(len(x))
-            found.append(np.array(bands(x), np.uint64).view(np.int64))
-        columns = [batch.column(0), batch.column(1), pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:2], "same", "size", "bands"])
-
-
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([members(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], names=["same", "members"])
+    given_back()
 
 
 class Homes:
@@ -158,12 +145,17 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from told()
     close()
     yield from told()
+    place, ids, sets, homes = None, [], [], None
+    given_back()
 
 
 def links(groups: DataFrame, texts: DataFrame, shard_members: int = SHARD_MEMBERS) -> DataFrame:
-    """Edges (a, b) between ``groups`` (same, size, bands), whose texts are ``texts`` (same, text)."""
-    dealt = groups.select("same", "size", F.explode("bands").alias("bucket"))
-    full = dealt.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("all")).where("n > 1").select("bucket", F.ceil(F.col("all") / shard_members).cast("int").alias("shards"))
+    """Edges (a, b) between ``groups`` (same, size, buckets), whose texts are ``texts`` (same, text)."""
+    dealt = groups.select("same", "size", F.explode("buckets").alias("bucket"))
+    # Near copies share most of their bands: of buckets with the same sets, told by their number and two sums of hashes, one is enough.
+    its = [F.bit_xor(F.xxhash64("same")).alias("x"), F.sum(F.xxhash64(F.lit(1), "same").cast("decimal(38,0)")).alias("s")]
+    held = dealt.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("all"), *its).where("n > 1")
+    full = held.groupBy("n", "x", "s").agg(F.min("bucket").alias("bucket"), F.first("all").alias("all")).select("bucket", F.ceil(F.col("all") / shard_members).cast("int").alias("shards"))
     sent = written(dealt.join(full, "bucket").select("bucket", "shards", "same"), "candidates")
     wanted = sent.select("same").distinct()
     sets = written(texts.join(wanted, "same", "left_semi").select("same", "text").mapInArrow(_sets, "same long, members binary").dropDuplicates(["same"]), "sets")
@@ -173,21 +165,3 @@ def links(groups: DataFrame, texts: DataFrame, shard_members: int = SHARD_MEMBER
     placed = rows.select(F.xxhash64("bucket", "_in.shard").alias("place"), F.col("_in.home").alias("home"), "same", "members")
     width = shuffle_width(groups.sparkSession)
     return placed.repartition(width, "place").sortWithinPartitions("place", F.desc("home")).mapInArrow(_compared, "a long, b long").distinct()
-
-
-def kept(docs: DataFrame, key: str = "doc_id", text: str = "text", shard_members: int = SHARD_MEMBERS) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: the one with the least key (a null key last), then the least text hash."""
-    row = F.xxhash64(text_or_empty(text))
-    inputs = docs.select(F.col(key).cast("long").alias("_key"), row.alias("_row"), text_or_empty(text).alias("_text"))
-    signed = written(inputs.mapInArrow(_signed, "_key long, _row long, same long, size long, bands array<long>"), "set-signatures")
-    first = F.min(F.struct(F.col("_key").isNull().alias("none"), "_key", "_row"))
-    groups = written(signed.groupBy("same").agg(F.first("size").alias("size"), F.first("bands").alias("bands"), first.alias("first")), "set-groups")
-    # A text has one set, so its hash alone finds it.
-    told = groups.select("same", F.col("first._row").alias("_row"))
-    texts = inputs.join(told, "_row").select("same", F.col("_text").alias("text"))
-    joined = written(components(links(groups.select("same", "size", "bands"), texts, shard_members)), "set-components")
-    whole = groups.select("same", "first").join(joined, groups["same"] == joined["node"], "left").groupBy(F.coalesce("component", "same").alias("component")).agg(F.min("first").alias("first"))
-    keys = written(whole.select(F.col("first._key").alias("_key"), F.col("first._row").alias("_row")), "kept-keys")
-    mine = docs.withColumn("_row", row)
-    left = mine.join(keys, F.col(key).eqNullSafe(F.col("_key")) & (mine["_row"] == keys["_row"]), "left_semi")
-    return left.dropDuplicates([key, "_row"]).drop("_row")

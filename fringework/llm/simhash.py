@@ -17,7 +17,9 @@ are dealt in shards, so no task gets a whole group.
 Cases: null or empty texts, and texts of white space only, have fingerprint zero
 and link like any other. Rows that repeat have equal fingerprints. A null key
 never becomes a component's id unless its group has no other. Extra columns are
-ignored (``kept`` carries them along). Empty tables give no rows.
+ignored (``kept`` carries them along, whatever their names). Very long texts are
+hashed in blocks of shingles. Keys of ``near_duplicates`` are whole numbers, those
+of ``kept`` of any type with an order. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -33,7 +35,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fringework.operators.graph import components
-from fringework.llm.shared import shuffle_width, table, text_or_empty, written
+from fringework.llm import jaccard
+from fringework.llm.shared import forest, free_names, given_back, shuffle_width, table, text_or_empty, written
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -151,26 +154,6 @@ def _sent(homes_only: bool):
     return send
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (node, least node it reaches) with the same components as the edges (a, b)."""
-    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = ends[: len(a)], ends[len(a) :]
-    label = np.arange(len(nodes))
-    while True:
-        least = np.minimum(label[x], label[y])
-        new = label.copy()
-        np.minimum.at(new, x, least)
-        np.minimum.at(new, y, least)
-        np.minimum.at(new, label[x], least)
-        np.minimum.at(new, label[y], least)
-        new = new[new]
-        if np.array_equal(new, label):
-            break
-        label = new
-    moved = label != np.arange(len(nodes))
-    return nodes[moved], nodes[label[moved]]
-
-
 def _near(home: np.ndarray, counts: np.ndarray, starts: np.ndarray, rest: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links of each home with ``counts`` entries of ``rest`` from ``starts`` on."""
     ends = np.cumsum(counts)
@@ -263,14 +246,59 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return signed.join(grouped(signed, key), "fp").select(key, "row", "fp", "component", "component_id")
 
 
-def kept(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: the one with the least key (a null key last), then the least text hash."""
-    found = near_duplicates(docs, key, text)
-    first = found.groupBy("component").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key), F.col("row"))).alias("_first"))
-    keys = written(first.select(F.col(f"_first.{key}").alias("_key"), F.col("_first.row").alias("_row")), "kept-keys")
-    mine = docs.withColumn("_row", F.xxhash64(text_or_empty(text)))
-    joined = mine.join(keys, F.col(key).eqNullSafe(F.col("_key")) & (mine["_row"] == keys["_row"]), "left_semi")
-    return joined.dropDuplicates([key, "_row"]).drop("_row")
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The SimHash of a set of hashes."""
+    ones = np.zeros(64, np.int64)
+    for start in range(0, len(hashes), SHINGLES_AT_ONCE):
+        bits = np.unpackbits(hashes[start : start + SHINGLES_AT_ONCE].view(np.uint8), bitorder="little").reshape(-1, 64)
+        ones += np.add.reduce(bits, axis=0, dtype=np.uint32)
+    return int.from_bytes(np.packbits(ones * 2 > len(hashes), bitorder="little").tobytes(), "little")
+
+
+def _signed_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In place of the text: the id and size of its set of five-word runs, its MinHash bands and its SimHash."""
+    names = ["same", "size", "bands", "fp"]
+    for batch in batches:
+        ids, sizes, found, fps = [], [], [], []
+        for text in batch.column(2):
+            x = jaccard.members(text.as_py())
+            ids.append(xxhash.xxh64_intdigest(x.tobytes()))
+            sizes.append(len(x))
+            found.append(np.array(jaccard.bands(x), np.uint64).view(np.int64))
+            fps.append(fingerprint_of(x))
+        columns = [*batch.columns[:2], pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64())), pa.array(np.array(fps, np.uint64).view(np.int64))]
+        yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:2], *names])
+    given_back()
+
+
+def kept(docs: DataFrame, key: str = "doc_id", text: str = "text", shard_members: int = jaccard.SHARD_MEMBERS) -> DataFrame:
+    """``docs`` with one row of each near-duplicate group: the one with the least key (a null key last), then the least text hash.
+
+    Here texts link when their sets of five-word runs have a likeness of at least
+    0.8. The anchors propose the sets whose SimHash differs in two bits or fewer;
+    since most pairs at 0.8 differ in more, MinHash bands propose further ones,
+    and every proposed pair is compared by its whole sets.
+    """
+    row = F.xxhash64(text_or_empty(text))
+    inputs = docs.select(F.col(key).alias("_key"), row.alias("_row"), text_or_empty(text).alias("_text"))
+    kind = inputs.schema["_key"].dataType.simpleString()
+    signed = written(inputs.mapInArrow(_signed_sets, f"_key {kind}, _row long, same long, size long, bands array<long>, fp long"), "set-signatures")
+    first = F.min(F.struct(F.col("_key").isNull().alias("none"), "_key", "_row"))
+    sets = written(signed.groupBy("same").agg(F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("fp").alias("fp"), first.alias("first")), "set-groups")
+    near = written(components(links(sets.select("fp").distinct())), "fingerprint-components")
+    # Sets of one fingerprint component are a bucket like those of a band.
+    placed = sets.join(near.withColumnRenamed("node", "fp"), "fp", "left").select("same", "size", "first", F.array_append("bands", F.xxhash64(F.lit("simhash"), F.coalesce("component", "fp"))).alias("buckets"))
+    placed = written(placed, "placed-sets")
+    told = placed.select("same", F.col("first._row").alias("_row"))
+    # A text has one set, so its hash alone finds it.
+    texts = inputs.join(told, "_row").select("same", F.col("_text").alias("text"))
+    joined = written(components(jaccard.links(placed.select("same", "size", "buckets"), texts, shard_members)), "set-components")
+    whole = placed.select("same", "first").join(joined, placed["same"] == joined["node"], "left").groupBy(F.coalesce("component", "same").alias("component")).agg(F.min("first").alias("first"))
+    its_row, its_key = free_names(docs.columns, "row", "key")
+    # Both are never null, so the join and what drops repeated rows share one exchange of the texts.
+    keys = written(whole.select(F.col("first._row").alias(its_row), F.xxhash64(F.col("first._key").isNull(), F.col("first._key")).alias(its_key)), "kept-keys")
+    mine = docs.withColumns({its_row: row, its_key: F.xxhash64(F.col(key).isNull(), F.col(key))})
+    return mine.join(keys, [its_row, its_key], "left_semi").dropDuplicates([its_row, its_key]).select(*docs.columns)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from fringework.llm import jaccard as J
+from fringework.llm import simhash as S
 
 
 def runs(text):
@@ -60,12 +60,29 @@ def test_the_stage_removes_edited_copies(spark):
 def test_shards_lose_nothing(spark):
     rows = edited_copies(6)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(r.doc_id for r in J.kept(docs, shard_members=300).collect()) == least_of_groups(rows)
+    assert sorted(r.doc_id for r in S.kept(docs, shard_members=300).collect()) == least_of_groups(rows)
 
 
 def test_repeated_rows_null_keys_and_empty(spark):
     body = " ".join(f"w{i}" for i in range(300))
     rows = [(7, body), (3, body.upper()), (3, body.upper()), (None, body), (None, "a lonely text"), (9, body + " more")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted((r.doc_id for r in J.kept(docs).collect()), key=repr) == [3, None]
-    assert J.kept(docs.limit(0)).count() == 0
+    assert sorted((r.doc_id for r in S.kept(docs).collect()), key=repr) == [3, None]
+    assert S.kept(docs.limit(0)).count() == 0
+
+
+def test_clashing_names_and_string_keys(spark):
+    body = " ".join(f"w{i}" for i in range(300))
+    rows = [("b", body, 1, 2, 3, "t"), ("a", body.upper(), 4, 5, 6, "t"), (None, "alone", 7, 8, 9, "t")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, row int, _key int, _row int, _text string")
+    got = S.kept(docs)
+    assert got.columns == docs.columns
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == [rows[1], rows[2]]
+
+
+def test_a_very_long_text(spark, monkeypatch):
+    monkeypatch.setattr(S, "SHINGLES_AT_ONCE", 1 << 12)
+    rnd = random.Random(1)
+    words = [f"w{rnd.randrange(10**6)}" for _ in range(60_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:-100])), (3, " ".join(words[30_000:]))]
+    assert sorted(r.doc_id for r in S.kept(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == [1, 3]
