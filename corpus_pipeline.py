@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fringework.llm import bpe, jaccard, mixing, toxicity
-from fringework.llm.shared import table, written
+from fringework.llm import bpe, mixing, simhash, toxicity
+from fringework.llm.shared import dropped, free_names, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group (five-word runs, likeness of at least 0.8) stays, the one with the least id."""
-    return jaccard.kept(docs)
+    return simhash.kept(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,9 +31,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's token ids, their number and the digests of ids and decoded text."""
-    kept = [c for c in docs.columns if c != "text"]
-    rows = bpe.coded(docs, bpe.prepared(docs), more=tuple(c for c in kept if c != "doc_id"))
-    return bpe.digested(rows.withColumn("tokens", F.col("token_ids"))).select(*kept, "tokens", "n_tokens", "ids_sha256", "decoded_sha256")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    # What else the rows hold travels as one column, so that no name of theirs meets one made here.
+    held = docs.select("doc_id", "text", F.struct(F.lit(0).alias("nothing"), *others).alias("row"))
+    rows = bpe.digested(bpe.coded(held, bpe.prepared(held), more=("row",)).withColumn("tokens", F.col("token_ids")))
+    made = ("tokens", "n_tokens", "ids_sha256", "decoded_sha256")
+    return rows.select("doc_id", *(F.col(f"row.`{c}`") for c in others), *(F.col(c).alias(n) for c, n in zip(made, free_names(docs.columns, *made), strict=True)))
 
 
 #: In this order; each works on all that the one before kept.
@@ -49,7 +52,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        if last is not None:
+            dropped(spark, last)
+        last = docs
     return docs
