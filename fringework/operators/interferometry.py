@@ -36,6 +36,10 @@ def pairs(times: DataFrame, spec: str | Sequence[tuple[int, int]] = "sequential"
     return found.select((F.row_number().over(Window.orderBy("ref", "sec")) - 1).cast("long").alias("pair"), "ref", "sec")
 
 
+#: Pairs formed in one plan: they stand in it as a literal.
+MOST_PAIRS = 5_000
+
+
 def lattice_lead(origin: float, spacing: float, looks: int) -> int:
     """Leading samples to drop so that blocks sit on the absolute lattice; halves round up."""
     from math import floor
@@ -63,9 +67,18 @@ def interferogram(
         if ny < looks or nx < looks:
             raise ValueError("less than one block is left")
         z = z.where((F.col("yi") < ny // looks * looks) & (F.col("xi") < nx // looks * looks))
-    a = z.join(F.broadcast(pair_table), z["t"] == pair_table["ref"]).select("pair", "sec", "yi", "xi", F.col("re").alias("re1"), F.col("im").alias("im1"))
-    b = z.select(F.col("t").alias("sec"), "yi", "xi", F.col("re").alias("re2"), F.col("im").alias("im2"))
-    both = a.join(b, ["sec", "yi", "xi"], "left")
+    # A pixel's samples come together once, whatever the number of pairs; its pairs are formed in place.
+    listed = [(r["pair"], r["ref"], r["sec"]) for r in pair_table.select("pair", "ref", "sec").collect()]
+    if len(listed) > MOST_PAIRS:
+        raise ValueError(f"{len(listed)} pairs: form them in parts of at most {MOST_PAIRS}")
+    kinds = {f.name: f.dataType for f in pair_table.schema}
+    every = F.array(*(F.struct(F.lit(p).cast(kinds["pair"]).alias("pair"), F.lit(r).cast(kinds["ref"]).alias("ref"), F.lit(s).cast(kinds["sec"]).alias("sec")) for p, r, s in listed))
+    pixel = z.groupBy("yi", "xi").agg(F.map_from_entries(F.collect_list(F.struct("t", F.struct("re", "im")))).alias("_z"))
+    if not listed:
+        every = F.array().cast("array<struct<pair:long,ref:long,sec:long>>")
+    formed = pixel.select("yi", "xi", "_z", F.explode(every).alias("_p")).where(F.map_contains_key("_z", F.col("_p.ref")))
+    at = lambda side: F.col("_z")[F.col(f"_p.{side}")]
+    both = formed.select("yi", "xi", "_p.pair", at("ref")["re"].alias("re1"), at("ref")["im"].alias("im1"), at("sec")["re"].alias("re2"), at("sec")["im"].alias("im2"))
     valid = F.col("re1").isNotNull() & F.col("im1").isNotNull() & F.col("re2").isNotNull() & F.col("im2").isNotNull()
     real, imag = F.col("re1") * F.col("re2") + F.col("im1") * F.col("im2"), F.col("im1") * F.col("re2") - F.col("re1") * F.col("im2")
     power = lambda k: F.when(valid, F.col(f"re{k}") * F.col(f"re{k}") + F.col(f"im{k}") * F.col(f"im{k}"))

@@ -24,16 +24,24 @@ def trim_along_track(pixels: DataFrame, value: str, edge: int, keys: Sequence[st
 def erode(pixels: DataFrame, value: str, steps: int, keys: Sequence[str] = ()) -> DataFrame:
     """Keeps a value if every pixel within an L1 distance of ``steps`` is valid and inside the raster.
 
-    Each valid pixel is counted at the pixels of its diamond; a full count stays.
-    The counts are summed before they move.
+    Along a row, each pixel's distance to the nearest invalid or absent one comes
+    from two running windows. A pixel stays if the distance of each pixel k rows
+    away exceeds ``steps`` - k, which is a least value over a frame of rows: two
+    shuffles whatever the reach, and no row is copied.
     """
     if steps <= 0:
         return pixels
-    ball = [(dy, dx) for dy in range(-steps, steps + 1) for dx in range(-steps, steps + 1) if abs(dy) + abs(dx) <= steps]
-    near = F.explode(F.array(*(F.struct((F.col("yi") + dy).alias("yi"), (F.col("xi") + dx).alias("xi")) for dy, dx in ball)))
-    counted = pixels.where(F.col(value).isNotNull()).select(*keys, near.alias("_p")).groupBy(*keys, F.col("_p.yi").alias("yi"), F.col("_p.xi").alias("xi")).agg(F.count("*").alias("_n"))
-    on = [*keys, "yi", "xi"]
-    return pixels.join(counted.where(F.col("_n") == len(ball)), on, "left").withColumn(value, F.when(F.col("_n").isNotNull(), F.col(value))).drop("_n")
+    row = Window.partitionBy(*keys, "yi").orderBy("xi")
+    so_far, from_here = row.rowsBetween(Window.unboundedPreceding, 0), row.rowsBetween(0, Window.unboundedFollowing)
+    xi, yi, ok = F.col("xi"), F.col("yi"), F.col(value).isNotNull()
+    near = lambda f: f(value).over(row).isNotNull() & (F.abs(f("xi").over(row) - xi) == 1)
+    stop = lambda f, step: F.when(~ok, xi).when(~F.coalesce(near(f), F.lit(False)), xi + step)
+    marked = pixels.withColumn("_l", stop(F.lag, -1)).withColumn("_r", stop(F.lead, 1))
+    marked = marked.withColumn("_d", F.least(xi - F.max("_l").over(so_far), F.min("_r").over(from_here) - xi)).drop("_l", "_r")
+    column = Window.partitionBy(*keys, "xi").orderBy("yi")
+    above, below, around = column.rangeBetween(-steps, 0), column.rangeBetween(0, steps), column.rangeBetween(-steps, steps)
+    keep = (F.min(F.col("_d") - yi).over(above) + yi > steps) & (F.min(F.col("_d") + yi).over(below) - yi > steps) & (F.count(F.lit(1)).over(around) == 2 * steps + 1)
+    return marked.withColumn(value, F.when(keep, F.col(value))).drop("_d")
 
 
 def subswath_valid(mask: Column) -> Column:
@@ -60,36 +68,67 @@ def add_cycles(unw: Column, cycles: int, chosen: Column) -> Column:
     return F.when(chosen, unw + F.lit(2 * pi * int(cycles))).otherwise(unw)
 
 
-def components(pixels: DataFrame, value: str, connectivity: int = 1) -> DataFrame:
-    """(yi, xi, component): connected valid pixels; the component is the least row-major index of its pixels.
+#: Columns of a bin in which runs of neighbouring rows meet; a long run stands in each bin that it touches.
+RUN_BIN = 256
+
+
+def components(pixels: DataFrame, value: str, connectivity: int = 1, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, yi, xi, component): connected valid pixels of each slice; the component is the least row-major index of its pixels.
 
     Rows are cut into runs first (a window), runs that touch are linked (an
-    equi-join on neighbouring rows), and the components of the run graph, which
-    is far smaller than the raster, are the components of the raster.
+    equi-join on slice, row and bin of columns, so a crowded row is many tasks),
+    and the components of the run graph, which is far smaller than the raster,
+    are the components of the raster.
     """
     reach = 0 if connectivity == 1 else 1
-    valid = pixels.where(F.col(value).isNotNull()).select("yi", "xi")
-    row = Window.partitionBy("yi").orderBy("xi")
+    keys = list(keys)
+    valid = pixels.where(F.col(value).isNotNull()).select(*keys, "yi", "xi")
+    row = Window.partitionBy(*keys, "yi").orderBy("xi")
     start = F.when(F.col("xi") - F.lag("xi").over(row) == 1, 0).otherwise(1)
-    runs = valid.withColumn("_s", start).withColumn("_run", F.sum("_s").over(row)).groupBy("yi", "_run").agg(F.min("xi").alias("x0"), F.max("xi").alias("x1"))
-    runs = runs.select("yi", "x0", "x1", (F.col("yi") * F.lit(1 << 31) + F.col("x0")).alias("run"))
-    runs = written(runs, "runs")
-    below = runs.select((F.col("yi") - 1).alias("yi"), F.col("x0").alias("bx0"), F.col("x1").alias("bx1"), F.col("run").alias("below"))
-    touch = runs.join(below, "yi").where((F.col("bx0") <= F.col("x1") + reach) & (F.col("bx1") >= F.col("x0") - reach))
+    runs = valid.withColumn("_s", start).withColumn("_run", F.sum("_s").over(row)).groupBy(*keys, "yi", "_run").agg(F.min("xi").alias("x0"), F.max("xi").alias("x1"))
+    place = F.col("yi") * F.lit(1 << 31) + F.col("x0")
+    # Runs of a stack are told apart by a number for their slice, which slices have few of.
+    if keys:
+        names = [f"_key{i}" for i in range(len(keys))]
+        numbers = runs.select(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True))).distinct()
+        numbers = written(numbers.withColumn("_slice", F.row_number().over(Window.orderBy(*names)) - 1), "slices")
+        match = F.lit(True)
+        for k, n in zip(keys, names, strict=True):
+            match = match & F.col(k).eqNullSafe(F.col(n))
+        runs = runs.join(numbers, match).select(*keys, "_slice", "yi", "x0", "x1", place.alias("_place"))
+    else:
+        runs = runs.select(F.lit(0).alias("_slice"), "yi", "x0", "x1", place.alias("_place"))
+    runs = written(runs.withColumn("run", F.struct("_slice", "_place") if keys else F.col("_place")), "runs")
+    bins = F.explode(F.sequence(F.expr(f"(x0 - {reach}) div {RUN_BIN}"), F.expr(f"(x1 + {reach}) div {RUN_BIN}"))).alias("_bin")
+    here = runs.select("_slice", "yi", "x0", "x1", "run", bins)
+    below = here.select("_slice", (F.col("yi") - 1).alias("yi"), "_bin", F.col("x0").alias("bx0"), F.col("x1").alias("bx1"), F.col("run").alias("below"))
+    touch = here.join(below, ["_slice", "yi", "_bin"]).where((F.col("bx0") <= F.col("x1") + reach) & (F.col("bx1") >= F.col("x0") - reach))
     linked = graph_components(touch.select(F.col("run").alias("a"), F.col("below").alias("b")))
     # The numbers of runs ascend with their places, so the least run of a component holds its first pixel.
-    label = runs.select("run").join(linked, runs["run"] == linked["node"], "left").select("run", F.coalesce("component", "run").alias("label"))
-    spread = runs.join(label, "run").select("yi", F.explode(F.sequence("x0", "x1")).alias("xi"), "label")
-    return spread.select("yi", "xi", F.col("label").alias("component"))
+    label = runs.select("run").join(linked, runs["run"] == linked["node"], "left").select("run", (F.coalesce("component", "run")["_place"] if keys else F.coalesce("component", "run")).alias("label"))
+    spread = runs.join(label, "run").select(*keys, "yi", F.explode(F.sequence("x0", "x1")).alias("xi"), "label")
+    return spread.select(*keys, "yi", "xi", F.col("label").alias("component"))
 
 
-def kept_components(pixels: DataFrame, value: str, min_size: int | None = None, connectivity: int = 1) -> DataFrame:
-    """Voids small components: those under or at ``min_size``, or all but the largest (ties: the first in row-major order)."""
-    found = components(pixels, value, connectivity)
-    sizes = found.groupBy("component").agg(F.count("*").alias("_n"))
+def kept_components(pixels: DataFrame, value: str, min_size: int | None = None, connectivity: int = 1, keys: Sequence[str] = (), max_drop_fraction: float | None = None) -> DataFrame:
+    """Voids small components of each slice: those under or at ``min_size``, or all but the largest (ties: the first in row-major order).
+
+    With ``max_drop_fraction`` it raises if a dropped component has more than that
+    share of its slice's valid pixels: that is a second landmass, not debris.
+    """
+    keys = list(keys)
+    found = components(pixels, value, connectivity, keys)
+    sizes = found.groupBy(*keys, "component").agg(F.count("*").alias("_n"))
     if min_size is None:
-        sizes = sizes.orderBy(F.desc("_n"), "component").limit(1)
+        keep = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_n"), "component")) == 1
     else:
-        sizes = sizes.where(F.col("_n") > min_size)
-    keep = found.join(sizes, "component", "left_semi").select("yi", "xi", F.lit(True).alias("_keep"))
-    return pixels.join(keep, ["yi", "xi"], "left").withColumn(value, F.when(F.col("_keep"), F.col(value))).drop("_keep")
+        keep = F.col("_n") > min_size
+    sizes = sizes.withColumn("_stay", keep)
+    if max_drop_fraction is not None:
+        sizes = written(sizes, "component-sizes")
+        whole = sizes.groupBy(*keys).agg(F.max(F.when(~F.col("_stay"), F.col("_n"))).alias("most"), F.sum("_n").alias("n"))
+        worst = whole.agg(F.max(F.col("most") / F.col("n")).alias("w")).first()["w"]
+        if worst is not None and worst > max_drop_fraction:
+            raise ValueError(f"a dropped component has {worst:.1%} of its slice's valid pixels, more than {max_drop_fraction:.1%}")
+    stay = found.join(sizes.where("_stay").select(*keys, "component"), [*keys, "component"], "left_semi").select(*keys, "yi", "xi", F.lit(True).alias("_keep"))
+    return pixels.join(stay, [*keys, "yi", "xi"], "left").withColumn(value, F.when(F.col("_keep"), F.col(value))).drop("_keep").select(*pixels.columns)

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from math import pi
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fringework.storage import written
+
 
 def nearest_in_time(others: DataFrame, refs: DataFrame, tolerance: int, other_time: str = "ts", ref_time: str = "ref") -> DataFrame:
     """``others`` with the nearest reference time (ties: the earlier), where one lies within ``tolerance`` seconds, inclusive.
@@ -19,11 +21,12 @@ def nearest_in_time(others: DataFrame, refs: DataFrame, tolerance: int, other_ti
     width = max(1, tolerance) * 1_000_000
     bins = refs.select(F.col(ref_time)).distinct().withColumn("_r", micros(ref_time))
     bins = bins.withColumn("_bin", F.explode(F.array(*(F.floor(F.col("_r") / width) + k for k in (-1, 0, 1)))))
-    left = others.withColumn("_o", micros(other_time)).withColumn("_bin", F.floor(F.col("_o") / width))
-    found = left.join(bins, "_bin").where(F.abs(F.col("_o") - F.col("_r")) <= tolerance * 1_000_000)
-    keys = others.columns
-    best = found.groupBy(*keys).agg(F.min(F.struct(F.abs(F.col("_o") - F.col("_r")).alias("_d"), F.col(ref_time))).alias("_best"))
-    return best.select(*keys, F.col(f"_best.{ref_time}").alias(ref_time), (F.col("_best._d") / 1_000_000).alias("gap_seconds"))
+    # Distinct times look for a partner; the rows, repeated ones too, then join on their own time.
+    times = others.select(F.col(other_time).alias("_t")).distinct().withColumn("_o", micros("_t")).withColumn("_bin", F.floor(F.col("_o") / width))
+    found = times.join(bins, "_bin").where(F.abs(F.col("_o") - F.col("_r")) <= tolerance * 1_000_000)
+    best = found.groupBy("_t").agg(F.min(F.struct(F.abs(F.col("_o") - F.col("_r")).alias("_d"), F.col(ref_time))).alias("_best"))
+    told = best.select(F.col("_t").alias(other_time), F.col(f"_best.{ref_time}").alias(ref_time), (F.col("_best._d") / 1_000_000).alias("gap_seconds"))
+    return others.join(told, other_time).select(*others.columns, ref_time, "gap_seconds")
 
 
 def matched_one_to_one(others: DataFrame, refs: DataFrame, tolerance: int, other_time: str = "ts", ref_time: str = "ref") -> DataFrame:
@@ -53,6 +56,33 @@ def merged_outer(first: DataFrame, second: DataFrame, keys: Sequence[str], value
     return first.select(*keys, *values).join(other, list(keys), "full_outer").select(*keys, *(F.coalesce(v, f"_{v}").alias(v) for v in values))
 
 
+#: Steps that a key's range is cut into when a median is looked for.
+MEDIAN_BINS = 4096
+
+
+def exact_medians(rows: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, median): the exact median of the values of each key, the mean of the two middle ones of an even number.
+
+    One pass counts the values by steps of the key's range; of the step or two
+    that hold the middle ranks the distinct values are counted, so no task holds a
+    key's values. Null values do not count.
+    """
+    keys = list(keys)
+    held = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    span = written(held.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_all")), "median-spans")
+    joined = held.join(F.broadcast(span), keys) if keys else held.crossJoin(F.broadcast(span))
+    step = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * MEDIAN_BINS), F.lit(MEDIAN_BINS - 1))).otherwise(F.lit(0))
+    binned = joined.select(*keys, "_v", "_all", step.cast("int").alias("_bin"))
+    low, high = F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1
+    before = lambda order: F.sum("_n").over(Window.partitionBy(*keys).orderBy(order))
+    counts = binned.groupBy(*keys, "_bin", "_all").agg(F.count("*").alias("_n")).withColumn("_upto", before("_bin"))
+    middle = counts.where((F.col("_upto") >= low) & (F.col("_upto") - F.col("_n") < high)).select(*keys, "_bin", (F.col("_upto") - F.col("_n")).alias("_base"))
+    near = binned.join(F.broadcast(middle), [*keys, "_bin"]).groupBy(*keys, "_bin", "_base", "_all", "_v").agg(F.count("*").alias("_n"))
+    ranked = near.withColumn("_to", F.col("_base") + F.sum("_n").over(Window.partitionBy(*keys, "_bin").orderBy("_v"))).withColumn("_from", F.col("_to") - F.col("_n"))
+    is_low, is_high = (F.col("_from") < low) & (F.col("_to") >= low), (F.col("_from") < high) & (F.col("_to") >= high)
+    return ranked.groupBy(*keys).agg(((F.max(F.when(is_low, F.col("_v"))) + F.max(F.when(is_high, F.col("_v")))) / 2).alias("median"))
+
+
 def merged_unwrapped(first: DataFrame, second: DataFrame, tie: str = "cycles", keys: Sequence[str] = ("pair", "yi", "xi")) -> DataFrame:
     """Two unwrapped frames on one lattice (keys, unw, conncomp, coherence).
 
@@ -68,7 +98,7 @@ def merged_unwrapped(first: DataFrame, second: DataFrame, tie: str = "cycles", k
         shift = other.select(pair).distinct().withColumn("_shift", F.lit(0.0))
     else:
         common = first.select(*keys, "unw").join(other, list(keys)).where("unw IS NOT NULL AND _unw IS NOT NULL")
-        median = common.groupBy(pair).agg(F.percentile(F.col("unw") - F.col("_unw"), F.lit(0.5)).alias("_m"))
+        median = exact_medians(common.select(pair, (F.col("unw") - F.col("_unw")).alias("_d")), "_d", [pair]).withColumnRenamed("median", "_m")
         shift = median.select(pair, (F.rint(F.col("_m") / (2 * pi)) * (2 * pi) if tie == "cycles" else F.col("_m")).alias("_shift"))
     both = first.select(*keys, "unw", "conncomp", "coherence").join(other, list(keys), "full_outer").join(F.broadcast(shift), pair, "left")
     own = F.col("unw").isNotNull()
@@ -79,20 +109,33 @@ def merged_unwrapped(first: DataFrame, second: DataFrame, tie: str = "cycles", k
     )
 
 
-def warped(source: DataFrame, targets: DataFrame, value: str, method: str = "bilinear") -> DataFrame:
-    """``targets`` (ty, tx, sy, sx: place in source pixels) with the value there; null where a needed pixel is missing.
+def warped_layers(source: DataFrame, targets: DataFrame, values: Sequence[str], method: str = "bilinear") -> DataFrame:
+    """``targets`` (ty, tx, sy, sx: place in source pixels) with the values there; null where a needed pixel is missing.
 
-    Each target names the source pixels it needs, at most four, and finds them by
-    an equi-join; weights of zero need no pixel.
+    Every source pixel gets its right, lower and diagonal neighbour by two
+    windows, so a target needs one join; a weight of zero needs no pixel.
     """
-    src = source.select("yi", "xi", F.col(value).alias("_v"))
+    names = [f"_v{i}" for i in range(len(values))]
+    src = source.select("yi", "xi", *(F.col(v).alias(n) for v, n in zip(values, names, strict=True)))
     if method == "nearest":
         placed = targets.select("ty", "tx", F.floor(F.col("sy") + 0.5).cast("long").alias("yi"), F.floor(F.col("sx") + 0.5).cast("long").alias("xi"))
-        return placed.join(src, ["yi", "xi"], "left").select("ty", "tx", F.col("_v").alias(value))
+        return placed.join(src, ["yi", "xi"], "left").select("ty", "tx", *(F.col(n).alias(v) for v, n in zip(values, names, strict=True)))
+    if method != "bilinear":
+        raise ValueError(f"unknown resampling {method!r}")
     y0, x0 = F.floor("sy").cast("long"), F.floor("sx").cast("long")
-    fy, fx = F.col("sy") - y0, F.col("sx") - x0
-    corners = [((0, 0), (1 - fy) * (1 - fx)), ((0, 1), (1 - fy) * fx), ((1, 0), fy * (1 - fx)), ((1, 1), fy * fx)]
-    need = F.filter(F.array(*(F.struct((y0 + dy).alias("yi"), (x0 + dx).alias("xi"), w.alias("w")) for (dy, dx), w in corners)), lambda c: c["w"] > 0)
-    wanted = targets.select("ty", "tx", F.explode(need).alias("_c")).select("ty", "tx", F.col("_c.yi").alias("yi"), F.col("_c.xi").alias("xi"), F.col("_c.w").alias("_w"))
-    sums = wanted.join(src, ["yi", "xi"], "left").groupBy("ty", "tx").agg(F.sum(F.col("_w") * F.col("_v")).alias("_s"), F.count(F.when(F.col("_v").isNull(), 1)).alias("_none"))
-    return sums.select("ty", "tx", F.when(F.col("_none") == 0, F.col("_s")).alias(value))
+    across, down = Window.partitionBy("yi").orderBy("xi").rangeBetween(1, 1), Window.partitionBy("xi").orderBy("yi").rangeBetween(1, 1)
+    wide = src
+    for n in names:
+        wide = wide.withColumn(f"{n}e", F.first(n).over(across))
+    for n in names:
+        wide = wide.withColumn(f"{n}s", F.first(n).over(down)).withColumn(f"{n}d", F.first(f"{n}e").over(down))
+    placed = targets.select("ty", "tx", y0.alias("yi"), x0.alias("xi"), (F.col("sy") - y0).alias("_fy"), (F.col("sx") - x0).alias("_fx"))
+    fy, fx = F.col("_fy"), F.col("_fx")
+    part = lambda v, w: F.when(w == 0, F.lit(0.0)).otherwise(F.col(v) * w)
+    total = lambda n: part(n, (1 - fy) * (1 - fx)) + part(f"{n}e", (1 - fy) * fx) + part(f"{n}s", fy * (1 - fx)) + part(f"{n}d", fy * fx)
+    return placed.join(wide, ["yi", "xi"], "left").select("ty", "tx", *(total(n).alias(v) for v, n in zip(values, names, strict=True)))
+
+
+def warped(source: DataFrame, targets: DataFrame, value: str, method: str = "bilinear") -> DataFrame:
+    """:func:`warped_layers` of one value."""
+    return warped_layers(source, targets, [value], method)

@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fringework.storage import written
+
 UNITS = {"m": 1.0, "cm": 0.01, "mm": 0.001}
 
 
@@ -96,21 +98,26 @@ def cell_sizes(n: int, least: int, most: int | None = None) -> list[int]:
     return sorted(found, reverse=True)
 
 
+#: Bytes of a cube that may travel with a function.
+CUBE_BYTES = 64 << 20
+
+
 def trilinear(points: DataFrame, cube: dict[str, np.ndarray], heights: np.ndarray, ys: np.ndarray, xs: np.ndarray, h: str = "h", y: str = "y", x: str = "x") -> DataFrame:
     """``points`` with each layer of a (height, y, x) cube: height is held at its ends, places outside are void.
 
-    The cube is metadata-sized (a few megabytes) and travels with the function.
+    A cube of metadata size (a few megabytes) travels with the function; a larger
+    one becomes a table that the points join.
     """
     import pandas as pd
 
-    if sum(v.nbytes for v in cube.values()) > 64 << 20:
-        raise ValueError("the cube is too large to travel with a function")
+    if sum(v.nbytes for v in cube.values()) > CUBE_BYTES:
+        return trilinear_joined(points, cube, heights, ys, xs, h, y, x)
     axes = []
     for a in (heights, ys, xs):
         order = np.argsort(a)
         axes.append((np.asarray(a, float)[order], order))
     layers = {k: np.asarray(v, float)[np.ix_(*(o for _, o in axes))] for k, v in cube.items()}
-    schema = points.select("*", *(F.lit(0.0).alias(k) for k in layers)).schema
+    schema = points.select("*", *(F.lit(None).cast("double").alias(k) for k in layers)).schema
 
     def run(frames):
         for f in frames:
@@ -132,3 +139,51 @@ def trilinear(points: DataFrame, cube: dict[str, np.ndarray], heights: np.ndarra
             yield out
 
     return points.mapInPandas(run, schema)
+
+
+def trilinear_joined(points: DataFrame, cube: dict[str, np.ndarray], heights: np.ndarray, ys: np.ndarray, xs: np.ndarray, h: str = "h", y: str = "y", x: str = "x") -> DataFrame:
+    """As :func:`trilinear` for a cube of any size: its cells are rows, and each point joins the one that holds it.
+
+    The axes are literals; a cell's row has the values of its eight corners.
+    """
+    spark = points.sparkSession
+    axes = []
+    for a in (heights, ys, xs):
+        order = np.argsort(a)
+        axes.append((np.asarray(a, float)[order], order))
+    layers = {k: np.asarray(v, float)[np.ix_(*(o for _, o in axes))] for k, v in cube.items()}
+    nh, ny, nx = (len(a) for a, _ in axes)
+    corners = list(np.ndindex(2, 2, 2))
+    names = [f"_{k}_{i}{j}{m}" for k in layers for i, j, m in corners]
+
+    def rows() -> list[DataFrame]:
+        for i in range(nh - 1):  # one level at a time, so the driver never holds the table whole
+            flat = {f"_{k}_{a}{b}{c}": v[i + a, b : ny - 1 + b, c : nx - 1 + c].ravel() for k, v in layers.items() for a, b, c in corners}
+            at = np.indices((ny - 1, nx - 1)).reshape(2, -1)
+            yield spark.createDataFrame(pd.DataFrame({"_i": np.full(at.shape[1], i), "_j": at[0], "_m": at[1], **flat}))
+
+    import pandas as pd
+
+    cells = None
+    for part in rows():
+        cells = part if cells is None else cells.unionByName(part)
+    cells = written(cells, "cube-cells")
+
+    def place(v: Column, axis: np.ndarray) -> tuple[Column, Column]:
+        # The number of axis values that do not exceed v, less one, held inside the axis.
+        below = F.size(F.filter(F.array(*(F.lit(float(a)) for a in axis)), lambda a: a <= v)) - 1
+        k = F.greatest(F.lit(0), F.least(below, F.lit(len(axis) - 2)))
+        lo = F.element_at(F.array(*(F.lit(float(a)) for a in axis)), k + 1)
+        hi = F.element_at(F.array(*(F.lit(float(a)) for a in axis)), k + 2)
+        return k.cast("long"), (v - lo) / (hi - lo)
+
+    held = F.greatest(F.lit(float(axes[0][0][0])), F.least(F.col(h), F.lit(float(axes[0][0][-1]))))
+    told = points
+    for name, v, (axis, _) in zip(("i", "j", "m"), (held, F.col(y), F.col(x)), axes, strict=True):
+        k, part = place(v, axis)
+        told = told.withColumn(f"_{name}", k).withColumn(f"_f{name}", part)
+    inside = F.col(y).between(float(axes[1][0][0]), float(axes[1][0][-1])) & F.col(x).between(float(axes[2][0][0]), float(axes[2][0][-1]))
+    both = told.join(cells, ["_i", "_j", "_m"], "left")
+    weight = lambda a, b, c: (F.col("_fi") if a else 1 - F.col("_fi")) * (F.col("_fj") if b else 1 - F.col("_fj")) * (F.col("_fm") if c else 1 - F.col("_fm"))
+    values = {k: F.when(inside, sum((weight(*c) * F.col(f"_{k}_{c[0]}{c[1]}{c[2]}") for c in corners), F.lit(0.0)).cast("float").cast("double")) for k in layers}
+    return both.withColumns(values).select(*points.columns, *layers)

@@ -61,8 +61,9 @@ def nearest_pair_match(spark, sf_dir):
 
 
 @query(f"""
-WITH {SLC_SQL}, other AS (SELECT t, yi + 3 AS yi, xi - 2 AS xi, re, -im AS im FROM slc)
-SELECT t, yi, xi, round(coalesce(a.re, b.re), 6) + 0.0::DOUBLE AS re, round(coalesce(a.im, b.im), 6) + 0.0::DOUBLE AS im FROM slc a FULL JOIN other b USING (t, yi, xi)""")
+WITH {SLC_SQL}, frames AS (SELECT t, yi, xi, 0 AS place, re, im FROM slc UNION ALL SELECT t, yi + 3, xi - 2, 1, re, -im FROM slc)
+SELECT t, yi, xi, round(coalesce(max(re) FILTER (place = 0), max(re) FILTER (place = 1)), 6) + 0.0::DOUBLE AS re, round(coalesce(max(im) FILTER (place = 0), max(im) FILTER (place = 1)), 6) + 0.0::DOUBLE AS im
+FROM frames GROUP BY t, yi, xi""")
 def slc_merge_outer(spark, sf_dir):
     z = R.slc(spark, sf_dir)
     other = z.select("t", (F.col("yi") + 3).alias("yi"), (F.col("xi") - 2).alias("xi"), "re", (-F.col("im")).alias("im"))
@@ -158,7 +159,24 @@ def deramp_excluding(spark, sf_dir):
     return _deramp(spark, sf_dir, 1, F.col("xi").between(30, 60))
 
 
-@query("")
+def _quadratic_sql() -> str:
+    """Gauss-Jordan elimination of the six normal equations, a step each."""
+    terms = ["1.0::DOUBLE", "x", "y", "x*x", "x*y", "y*y"]
+    cell = lambda i, j: f"a{i}_{j}"
+    sums = [f"sum(({terms[i]}) * ({terms[j]})) AS {cell(i, j)}" for i in range(6) for j in range(6)] + [f"sum(({terms[i]}) * unw) AS {cell(i, 6)}" for i in range(6)]
+    steps = [f"e0 AS (SELECT pair, {', '.join(sums)} FROM p WHERE unw IS NOT NULL GROUP BY pair)"]
+    for k in range(6):
+        cells = [f"{cell(i, j)} / {cell(k, k)} AS {cell(i, j)}" if i == k else f"{cell(i, j)} - {cell(i, k)} * {cell(k, j)} / {cell(k, k)} AS {cell(i, j)}" for i in range(6) for j in range(7)]
+        steps.append(f"e{k + 1} AS (SELECT pair, {', '.join(cells)} FROM e{k})")
+    surface = " + ".join(f"{cell(i, 6)} * ({t})" for i, t in enumerate(terms))
+    return f"""
+WITH {UNW_SQL}, size AS (SELECT max(yi) AS last FROM unw), p AS (
+  SELECT unw.*, xi * 2.0::DOUBLE / {WIDTH - 1} - 1 AS x, yi * 2.0::DOUBLE / last - 1 AS y FROM unw CROSS JOIN size
+), {', '.join(steps)}
+SELECT pair, yi, xi, round(unw - ({surface}), 6) AS unw FROM p JOIN e6 USING (pair)"""
+
+
+@query(_quadratic_sql())
 def deramp_quadratic(spark, sf_dir):
     return _deramp(spark, sf_dir, 2)
 
@@ -185,7 +203,7 @@ def noise_floor(spark, sf_dir):
 
 
 @query(f"""
-WITH {SCENE_SQL}, {_BLOCKS}, placed AS (SELECT *, least(floor((by_ - 0.0) / 2.4), 9)::BIGINT AS bin, CASE WHEN bx < 12 THEN 1 ELSE -1 END AS side FROM told WHERE by_ <= 24)
+WITH {SCENE_SQL}, {_BLOCKS}, rows_ AS (SELECT (max(yi) + 1) // 4 - 1 AS last FROM scene), placed AS (SELECT told.*, least(floor((by_ - 0.0) / 2.4), 10 * greatest(1, ceil(last / 24.0)) - 1)::BIGINT AS bin, CASE WHEN bx < 12 THEN 1 ELSE -1 END AS side FROM told, rows_)
 SELECT bin, sum(CASE WHEN side = 1 THEN n ELSE 0 END)::BIGINT AS left_side, sum(CASE WHEN side = -1 THEN n ELSE 0 END)::BIGINT AS right_side,
        round(least(left_side, right_side)::DOUBLE / greatest(left_side, right_side), 6) AS balance, least(left_side, right_side)::DOUBLE / greatest(left_side, right_side) >= 0.1 AS two_sided
 FROM placed GROUP BY bin""")

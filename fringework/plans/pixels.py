@@ -176,34 +176,57 @@ def enu_project(spark, sf_dir):
     return R.slc(spark, sf_dir).select("t", "yi", "xi", F.round(e * F.lit(_LOOK[0]) + n * F.lit(_LOOK[1]) + u * F.lit(_LOOK[2]), 6).alias("los"))
 
 
-def _component_sql(reach8: bool) -> str:
-    near = "abs(a.yi - b.yi) <= 1 AND abs(a.xi - b.xi) <= 1" if reach8 else "abs(a.yi - b.yi) + abs(a.xi - b.xi) <= 1"
+def _component_sql(reach: int, what: str) -> str:
+    """Runs of valid pixels as the nodes of a graph; ``labelled`` has every valid pixel with its component."""
     return f"""
-WITH RECURSIVE {SCENE_SQL}, ok AS (SELECT yi, xi, yi * 2147483648 + xi AS id FROM scene WHERE v IS NOT NULL AND v % 10 < 3),
-reach AS (SELECT yi, xi, id AS root FROM ok UNION SELECT b.yi, b.xi, a.root FROM reach a JOIN ok b ON {near})
-SELECT yi, xi, min(root) AS component FROM reach GROUP BY yi, xi"""
+WITH RECURSIVE {SCENE_SQL}, ok AS (SELECT yi, xi, xi - row_number() OVER (PARTITION BY yi ORDER BY xi) AS g FROM scene WHERE v IS NOT NULL),
+runs AS (SELECT yi, min(xi) AS x0, max(xi) AS x1, yi * 2147483648 + min(xi) AS id FROM ok GROUP BY yi, g),
+touch AS (SELECT a.id AS a, b.id AS b FROM runs a JOIN runs b ON abs(a.yi - b.yi) = 1 AND b.x0 <= a.x1 + {reach} AND b.x1 >= a.x0 - {reach}),
+reach AS (SELECT id AS node, id AS root FROM runs UNION SELECT b, root FROM reach JOIN touch ON a = node),
+label AS (SELECT node, min(root) AS component FROM reach GROUP BY node),
+labelled AS (SELECT yi, unnest(range(x0, x1 + 1)) AS xi, component FROM runs JOIN label ON id = node),
+sizes AS (SELECT component, count(*) AS n FROM labelled GROUP BY component)
+{what}"""
 
 
-def _components(spark, sf_dir, connectivity):
-    s = R.scene(spark, sf_dir)
-    return M.components(s.withColumn("v", F.when(F.col("v") % 10 < 3, F.col("v"))), "v", connectivity)
+_STAY = "SELECT scene.yi, scene.xi, CASE WHEN stay.component IS NOT NULL THEN v END AS v FROM scene LEFT JOIN labelled USING (yi, xi) LEFT JOIN ({}) AS stay ON stay.component = labelled.component"
 
 
-@query(_component_sql(False))
+@query(_component_sql(0, "SELECT yi, xi, component FROM labelled"))
 def components_4(spark, sf_dir):
-    return _components(spark, sf_dir, 1)
+    return M.components(R.scene(spark, sf_dir), "v", 1)
 
 
-@query(_component_sql(True))
+@query(_component_sql(1, "SELECT yi, xi, component FROM labelled"))
 def components_8(spark, sf_dir):
-    return _components(spark, sf_dir, 2)
+    return M.components(R.scene(spark, sf_dir), "v", 2)
 
 
-@query("")
+@query(_component_sql(0, _STAY.format("SELECT component FROM sizes ORDER BY n DESC, component LIMIT 1")))
 def largest_component(spark, sf_dir):
     return M.kept_components(R.scene(spark, sf_dir), "v")
 
 
-@query("")
+@query(_component_sql(0, _STAY.format("SELECT component FROM sizes WHERE n > 6")))
 def components_over_size(spark, sf_dir):
     return M.kept_components(R.scene(spark, sf_dir), "v", min_size=6)
+
+
+def _clean_sql() -> str:
+    """As above, by pair: what coherence leaves of each pair, without its debris."""
+    return f"""
+WITH RECURSIVE {UNW_SQL}, ok AS (SELECT pair, yi, xi, xi - row_number() OVER (PARTITION BY pair, yi ORDER BY xi) AS g FROM unw WHERE unw IS NOT NULL AND coherence >= 0.45),
+runs AS (SELECT pair, yi, min(xi) AS x0, max(xi) AS x1, row_number() OVER () AS id FROM ok GROUP BY pair, yi, g),
+touch AS (SELECT a.id AS a, b.id AS b FROM runs a JOIN runs b ON a.pair = b.pair AND abs(a.yi - b.yi) = 1 AND b.x0 <= a.x1 AND b.x1 >= a.x0),
+reach AS (SELECT id AS node, id AS root FROM runs UNION SELECT b, root FROM reach JOIN touch ON a = node),
+label AS (SELECT node, min(root) AS component FROM reach GROUP BY node),
+sizes AS (SELECT component, sum(x1 - x0 + 1) AS n FROM label JOIN runs ON node = id GROUP BY component),
+held AS (SELECT pair, yi, unnest(range(x0, x1 + 1)) AS xi FROM runs JOIN label ON id = node JOIN sizes USING (component) WHERE n > 4)
+SELECT unw.pair, unw.yi, unw.xi, CASE WHEN held.pair IS NOT NULL THEN round(unw, 6) END AS unw FROM unw LEFT JOIN held ON unw.pair = held.pair AND unw.yi = held.yi AND unw.xi = held.xi"""
+
+
+@query(_clean_sql())
+def unconnected_by_pair(spark, sf_dir):
+    u = R.unwrapped(spark, sf_dir)
+    u = u.select("pair", "yi", "xi", F.when(M.above_coherence(F.col("coherence"), 0.45), F.col("unw")).alias("unw"))
+    return rounded(M.kept_components(u, "unw", min_size=4, keys=["pair"], max_drop_fraction=0.5), "unw")

@@ -128,7 +128,22 @@ def dip_offset(spark, sf_dir):
     return rounded(p.select("p_partkey", T.dip_offset(F.col("p_retailprice"), (F.lit(40) + F.col("p_size") % 51).cast("double")).alias("shift")), "shift")
 
 
-@query("")
+def tmerc_sql(source: str, lon: str, lat: str, lon0: float, more: str) -> str:
+    """Steps of the projection as common table expressions; the last, ``tm``, has easting and northing."""
+    e = T._ECC
+    series = lambda f, g, first: first + "".join(f" + {a!r}::DOUBLE * {f}({2 * k} * xi) * {g}({2 * k} * eta)" for k, a in enumerate(T._ALPHA, 1))
+    return f"""tm0 AS (SELECT {more}, sin(radians({lat})) AS s, radians({lon} - {lon0!r}::DOUBLE) AS d FROM {source}),
+tm1 AS (SELECT *, sinh(atanh(s) - {e!r}::DOUBLE * atanh({e!r}::DOUBLE * s)) AS t FROM tm0),
+tm2 AS (SELECT *, atan2(t, cos(d)) AS xi, atanh(sin(d) / sqrt(1 + t * t)) AS eta FROM tm1),
+tm AS (SELECT *, {T.FALSE_EASTING!r}::DOUBLE + {T.SCALE * T._RADIUS!r}::DOUBLE * ({series('cos', 'sinh', 'eta')}) AS easting, {T.SCALE * T._RADIUS!r}::DOUBLE * ({series('sin', 'cosh', 'xi')}) AS northing FROM tm2)"""
+
+
+_ORIGIN = T.to_tmerc(-68.0, 10.5, -68.0)
+
+
+@query(f"""
+WITH places AS (SELECT c_custkey, c_acctbal / 5000 - 68 AS lon, c_nationkey / 25.0::DOUBLE + 10 AS lat FROM customer), {tmerc_sql('places', 'lon', 'lat', -68.0, 'c_custkey')}
+SELECT c_custkey, round(easting - {_ORIGIN[0]!r}::DOUBLE, 3) AS x, round(northing - {_ORIGIN[1]!r}::DOUBLE, 3) AS y FROM tm""")
 def local_frame(spark, sf_dir):
     c = R.read(spark, sf_dir, "customer").select("c_custkey", (F.col("c_acctbal") / 5000 - 68).alias("lon"), (F.col("c_nationkey") / 25.0 + 10).alias("lat"))
     x, y = T.LocalFrame(-68.0, 10.5).columns(F.col("lon"), F.col("lat"))

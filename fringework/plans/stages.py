@@ -9,6 +9,7 @@ from pathlib import PurePath
 
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 class StageError(RuntimeError):
@@ -65,8 +66,9 @@ class Workspace:
         """The sidecar goes first, so a stage without one is never half deleted."""
         if self.exists(name):
             self.files.delete_file(self._side(name))
-        if self.files.get_file_info(f"{self.base}/{name}.parquet").type != pyarrow.fs.FileType.NotFound:
-            self.files.delete_dir(f"{self.base}/{name}.parquet")
+        for folder in (f"{self.base}/{name}.parquet", f"{self.base}/{name}.done"):
+            if self.files.get_file_info(folder).type != pyarrow.fs.FileType.NotFound:
+                self.files.delete_dir(folder)
 
     def store(self, name: str, df: DataFrame | Callable[[], DataFrame], params: dict, overwrite: bool = False, partition_by: tuple[str, ...] = ()) -> DataFrame:
         """The stage, made only if it is not there with the same parameters.
@@ -91,7 +93,35 @@ class Workspace:
         told = self._read(name)
         if told is None:
             raise StageError(f"there is no stage {name!r}")
-        return self.spark.read.parquet(self.path(name)).select(*told["columns"])
+        if "by" not in told:
+            return self.spark.read.parquet(self.path(name)).select(*told["columns"])
+        # Only slices that were finished count.
+        schema = StructType.fromJson(json.loads(told["schema"]))
+        done = [f"{self.path(name)}/slice={p}" for p in sorted(self.pairs_done(name))]
+        return self.spark.read.schema(schema).parquet(*done) if done else self.spark.createDataFrame([], schema)
+
+    def init(self, name: str, like: DataFrame, params: dict, by: str = "pair", overwrite: bool = False) -> None:
+        """A stage whose slices are written one by one: its columns and parameters are known before any of its rows.
+
+        What is there from the same parameters stays, so a run that was cut off goes
+        on; other parameters are an error unless ``overwrite``.
+        """
+        known = self.stored_params_hash(name)
+        if known == hash_params(params):
+            return
+        if known is not None and not overwrite:
+            raise StageError(f"stage {name!r} was made from other parameters")
+        self.clear(name)
+        like.limit(0).write.mode("overwrite").parquet(self.path(name))
+        self._write(name, {"params": params, "params_hash": hash_params(params), "columns": like.columns, "by": by, "schema": like.schema.json()})
+
+    def write_region(self, name: str, df: DataFrame, slice_: int) -> None:
+        """One slice's rows, in a folder of their own: writers of different slices share no file, and a slice that is written again is replaced alone."""
+        told = self._read(name)
+        if told is None or "by" not in told:
+            raise StageError(f"stage {name!r} is not set up to be written by slice")
+        df.select(*told["columns"]).write.mode("overwrite").parquet(f"{self.path(name)}/slice={int(slice_)}")
+        self.mark_done(name, slice_)
 
     def mark_done(self, name: str, pair: int) -> None:
         """Progress of a stage that is made pair by pair: a marker for each, so writers never share a file."""

@@ -12,8 +12,11 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "yi long, xi long, y double, x double, re float, im float"
@@ -59,6 +62,31 @@ def write(path: str, image: np.ndarray, x: np.ndarray, y: np.ndarray, epsg: int,
         f.write(json.dumps(meta).encode())
 
 
+def write_distributed(pixels: DataFrame, path: str, x0: float, dx: float, y0: float, dy: float, ny: int, nx: int, epsg: int, time: str | None, direction: str = "Descending", chunks: tuple[int, int] = (64, 64)) -> None:
+    """A granule from pixels (yi, xi, re, im): every chunk is written by the task that groups its pixels; chunks without any are not written."""
+    if direction not in ("Ascending", "Descending"):
+        raise ValueError(f"unknown pass direction {direction!r}")
+    if not dx or not dy:
+        raise ValueError("an axis is not monotonic")
+    cy, cx = chunks
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        block = np.full(chunks, np.nan, np.complex64)
+        block[pdf["yi"].to_numpy() % cy, pdf["xi"].to_numpy() % cx] = pdf["re"].to_numpy(float) + 1j * pdf["im"].to_numpy(float)
+        files, base = _opened(path)
+        files.create_dir(base, recursive=True)
+        with files.open_output_stream(f"{base}/chunk-{key[0]}-{key[1]}.bin") as f:
+            f.write(zlib.compress(shuffled(block), 1))
+        return pd.DataFrame({"cy": [key[0]], "cx": [key[1]]})
+
+    at = pixels.withColumn("cy", F.floor(F.col("yi") / cy)).withColumn("cx", F.floor(F.col("xi") / cx))
+    at.groupBy("cy", "cx").applyInPandas(run, "cy long, cx long").write.format("noop").mode("overwrite").save()
+    axis = lambda first, step, n: [first + step * i for i in range(n)]
+    files, base = _opened(path)
+    with files.open_output_stream(f"{base}/meta.json") as f:
+        f.write(json.dumps({"x": axis(x0, dx, nx), "y": axis(y0, dy, ny), "epsg": epsg, "time": time, "direction": direction, "chunks": list(chunks)}).encode())
+
+
 def metadata(path: str) -> dict:
     files, base = _opened(path)
     with files.open_input_stream(f"{base}/meta.json") as f:
