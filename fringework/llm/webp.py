@@ -3,9 +3,10 @@
 The decoder reads prefix codes, meta prefix codes, back-references and the colour
 cache, and inverts the predictor, cross-colour, subtract-green and colour-indexing
 transforms, all from the published format. Streams whose literals share one code
-and use neither references nor a cache (what the writer makes) are decoded by a
-table that takes a byte of the stream at a time; every other stream is decoded
-symbol by symbol.
+and use neither references nor a cache are decoded by a table that takes a byte of
+the stream at a time; every other stream is decoded symbol by symbol. The writer
+stores running text with a fixed code, and uses a palette, a predictor, a mix of
+channels, references or a cache where those save much of the bits.
 
 A text is stored as its UTF-8 bytes, filled with spaces to a positive multiple of
 192, three bytes a pixel (red, green, blue), 64 pixels a row; longer payloads than
@@ -142,14 +143,6 @@ def read_code(bits: Bits, size: int) -> tuple[int, ...]:
     return tuple(lengths)
 
 
-def _extra(bits: Bits, symbol: int) -> int:
-    """The length or distance that a prefix symbol and its extra bits stand for."""
-    if symbol < 4:
-        return symbol + 1
-    n = symbol - 2 >> 1
-    return ((2 + (symbol & 1)) << n) + bits.take(n) + 1
-
-
 @lru_cache(maxsize=64)
 def _machine(lengths: tuple[int, ...]) -> list:
     """For each inner state of a code's tree, per byte of the stream: the symbols it completes and the state after."""
@@ -202,16 +195,7 @@ class _Header:
     __slots__ = ("cache_bits", "map_bits", "map", "groups")
 
 
-#: Headers without a map that were read of late, by their bits; images of one writer share few.
-_SEEN: dict[tuple[int, int], _Header] = {}
-
-
 def _read_groups(bits: Bits, width: int, height: int, top: bool) -> _Header:
-    for (value, n), known in _SEEN.items():
-        if top and bits.at + n <= bits.end and bits.peek(n) == value:
-            bits.at += n
-            return known
-    start = bits.at
     h = _Header()
     h.cache_bits = bits.take(4) if bits.take(1) else 0
     if h.cache_bits > 11:
@@ -224,12 +208,6 @@ def _read_groups(bits: Bits, width: int, height: int, top: bool) -> _Header:
         n = int(h.map.max()) + 1
     cached = 1 << h.cache_bits if h.cache_bits else 0
     h.groups = [tuple(read_code(bits, size) for size in (280 + cached, 256, 256, 256, 40)) for _ in range(n)]
-    if top and h.map is None:
-        if len(_SEEN) >= 4:
-            _SEEN.pop(next(iter(_SEEN)))
-        size, bits.at = bits.at - start, start
-        _SEEN[bits.peek(size), size] = h
-        bits.at = start + size
     return h
 
 
@@ -249,30 +227,52 @@ def read_pixels(bits: Bits, width: int, height: int, top: bool) -> np.ndarray:
     return _symbol_by_symbol(bits, h, width, total)
 
 
+#: Bytes of the stream that stand in the decoder's window when it is filled; what one symbol may take at most (bits).
+_FILL, _MOST_BITS = 64, 15 * 5 + 2 * 18
+
+
 def _symbol_by_symbol(bits: Bits, h: _Header, width: int, total: int) -> np.ndarray:
-    groups = [tuple(map(code, g)) for g in h.groups]
+    groups = []
+    for lengths in h.groups:
+        codes = [code(x) for x in lengths]
+        groups.append(tuple(x for c in codes for x in (c.table, (1 << c.longest) - 1)))
     out = [0] * total
     cached = [0] * (1 << h.cache_bits) if h.cache_bits else None
-    shift = 32 - h.cache_bits
+    shift, map_bits, map_ = 32 - h.cache_bits, h.map_bits, h.map.tolist() if h.map is not None else None
+    data, pos = bits.data, bits.at
     at = stored = 0
-
-    def remember(upto: int) -> None:
-        nonlocal stored
-        if cached is not None:
-            for p in out[stored:upto]:
-                cached[(0x1E35A7BD * p & 0xFFFFFFFF) >> shift] = p
-        stored = upto
-
+    # The window holds the stream from bit ``pos`` on; ``left`` bits of it are good.
+    window = left = 0
+    gt, gm, rt, rm, bt, bm, at_, am, ft, fm = groups[0]
     while at < total:
-        green, red, blue, alpha, far = groups[0] if h.map is None else groups[h.map[at // width >> h.map_bits, at % width >> h.map_bits]]
-        g = green.read(bits)
+        if left < _MOST_BITS:
+            window = int.from_bytes(data[pos >> 3 : (pos >> 3) + _FILL], "little") >> (pos & 7)
+            left = 8 * _FILL - (pos & 7)
+        if map_ is not None:
+            gt, gm, rt, rm, bt, bm, at_, am, ft, fm = groups[map_[at // width >> map_bits][at % width >> map_bits]]
+        used, g = gt[window & gm]
+        window >>= used
         if g < 256:
-            r, b, a = red.read(bits), blue.read(bits), alpha.read(bits)
+            n, r = rt[window & rm]
+            window >>= n
+            used += n
+            n, b = bt[window & bm]
+            window >>= n
+            used += n
+            n, a = at_[window & am]
+            window >>= n
+            used += n
             out[at] = a << 24 | r << 16 | g << 8 | b
             at += 1
         elif g < 280:
-            n = _extra(bits, g - 256)
-            d = _extra(bits, far.read(bits))
+            n, extra = _value(window, g - 256)
+            window >>= extra
+            used += extra
+            size, f = ft[window & fm]
+            window >>= size
+            d, extra = _value(window, f)
+            window >>= extra
+            used += size + extra
             if d > 120:
                 d -= 120
             else:
@@ -282,19 +282,34 @@ def _symbol_by_symbol(bits: Bits, h: _Header, width: int, total: int) -> np.ndar
                 raise ValueError("a reference leaves the image")
             if d >= n:
                 out[at : at + n] = out[at - d : at - d + n]
-            else:
-                for k in range(at, at + n):
-                    out[k] = out[k - d]
+            else:  # the piece repeats itself
+                piece = out[at - d : at]
+                out[at : at + n] = (piece * (n // d + 1))[:n]
             at += n
         else:
-            remember(at)
             if cached is None:
                 raise ValueError("a cache symbol without a cache")
+            for p in out[stored:at]:
+                cached[(0x1E35A7BD * p & 0xFFFFFFFF) >> shift] = p
+            stored = at
             out[at] = cached[g - 280]
             at += 1
+        pos += used
+        left -= used
+        if pos > bits.end:
+            raise ValueError("the stream ends early")
+    bits.at = pos
     return np.array(out, np.uint32)
 
 
+def _value(window: int, symbol: int) -> tuple[int, int]:
+    """The length or distance of a prefix symbol whose extra bits begin the window, and how many those are."""
+    if symbol < 4:
+        return symbol + 1, 0
+    n = symbol - 2 >> 1
+    return ((2 + (symbol & 1)) << n) + (window & ((1 << n) - 1)) + 1, n
+
+
 def _channels(pixels: np.ndarray) -> np.ndarray:
     """(n, 4) bytes in the order blue, green, red, alpha."""
     return np.ascontiguousarray(pixels.astype("<u4")).view(np.uint8).reshape(-1, 4)
@@ -339,28 +354,58 @@ def _predicted(mode: int, left: np.ndarray, up: np.ndarray, up_right: np.ndarray
             return np.clip(mean + half, 0, 255)
 
 
+#: Modes that look at the row above alone.
+_ABOVE = {2, 3, 4, 8, 9}
+
+
 def predictor(pixels: np.ndarray, width: int, modes: np.ndarray, bits: int, invert: bool = True) -> np.ndarray:
-    """Adds (or, for a writer, takes away) each pixel's prediction. ``modes``: block numbers by block row and column."""
+    """Adds (or, for a writer, takes away) each pixel's prediction. ``modes``: block numbers by block row and column.
+
+    Runs of a mode that looks at the row above, or at the left neighbour, are done at once; the others pixel by pixel.
+    """
     given = _channels(pixels).astype(np.int64).reshape(-1, width, 4)
-    out = given.copy()
-    known = out if invert else given
-    sign = 1 if invert else -1
-    for y in range(len(given)):
-        for x in range(width):
-            if y == 0 and x == 0:
-                guess = np.array([0, 0, 0, 255])
-            elif y == 0:
-                guess = known[0, x - 1]
-            elif x == 0:
-                guess = known[y - 1, 0]
+    if not invert:
+        return _packed(given - _guesses(given, width, modes, bits) & 255)
+    out = np.zeros_like(given)
+    out[0] = (np.cumsum(given[0], axis=0) + [0, 0, 0, 255]) & 255
+    for y in range(1, len(given)):
+        up, row = out[y - 1], out[y]
+        row[0] = (given[y, 0] + up[0]) & 255
+        right = np.concatenate([up[1:], row[:1]])  # right of the last column stands the first pixel of this row
+        for k in range(modes.shape[1]):
+            a, b = max(1, k << bits), min(width, k + 1 << bits)
+            if a >= b:
+                continue
+            mode = int(modes[y >> bits, k])
+            if mode in _ABOVE or mode in (0, 14, 15):
+                row[a:b] = (given[y, a:b] + _predicted(mode, up[a:b], up[a:b], right[a:b], up[a - 1 : b - 1])) & 255
+            elif mode == 1:
+                row[a:b] = (np.cumsum(given[y, a:b], axis=0) + row[a - 1]) & 255
             else:
-                # Right of the last column stands the first pixel of this row.
-                up_right = known[y - 1, x + 1] if x + 1 < width else known[y, 0]
-                guess = _predicted(int(modes[y >> bits, x >> bits]), known[y, x - 1], known[y - 1, x], up_right, known[y - 1, x - 1])
-            out[y, x] = (given[y, x] + sign * guess) & 255
+                for x in range(a, b):
+                    row[x] = (given[y, x] + _predicted(mode, row[x - 1], up[x], right[x], up[x - 1])) & 255
     return _packed(out)
 
 
+def _guesses(known: np.ndarray, width: int, modes: np.ndarray, bits: int) -> np.ndarray:
+    """The prediction of every pixel where all are known."""
+    out = np.zeros_like(known)
+    out[0, 0] = [0, 0, 0, 255]
+    out[0, 1:] = known[0, :-1]
+    out[1:, 0] = known[:-1, 0]
+    if len(known) < 2 or width < 2:
+        return out
+    left, up, up_left = known[1:, :-1], known[:-1, 1:], known[:-1, :-1]
+    up_right = np.concatenate([known[:-1, 2:], known[1:, :1]], axis=1)
+    y, x = np.indices(left.shape[:2]) + 1
+    which = modes[y >> bits, x >> bits]
+    for mode in np.unique(which):
+        at = which == mode
+        parts = [v[at] for v in (left, up, up_right, up_left)]
+        out[1:, 1:][at] = np.stack([_predicted(int(mode), *(v[i] for v in parts)) for i in range(int(at.sum()))]) if mode == 11 else _predicted(int(mode), *parts)
+    return out
+
+
 def _packed(channels: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(channels.reshape(-1, 4).astype(np.uint8)).view("<u4").reshape(-1).astype(np.uint32)
 
@@ -502,17 +547,46 @@ def put_code(out: Writer, lengths: tuple[int, ...]) -> None:
         out.put(used[0], 8)
         return
     out.put(0, 1)
+    symbols = list(_runs(lengths))
     counts = [0] * 19
-    for n in lengths:
-        counts[n] += 1
+    for symbol, *_ in symbols:
+        counts[symbol] += 1
     outer = huffman_lengths(counts, 7)
     words = code(outer).words
     out.put(19 - 4, 4)
     for at in LENGTH_ORDER:
         out.put(outer[at], 3)
     out.put(0, 1)
-    for n in lengths:
-        out.put(*words[n])
+    for symbol, extra, n in symbols:
+        out.put(*words[symbol])
+        out.put(extra, n)
+
+
+def _runs(lengths: tuple[int, ...]) -> Iterator[tuple[int, int, int]]:
+    """(symbol, extra bits, their number) that tell the code lengths: runs of a length are told as such."""
+    before, at = 8, 0
+    while at < len(lengths):
+        value, n = lengths[at], 1
+        while at + n < len(lengths) and lengths[at + n] == value:
+            n += 1
+        at += n
+        if value and value != before:
+            yield value, 0, 0
+            before, n = value, n - 1
+        while n:
+            if value and n >= 3:
+                k = min(n, 6)
+                yield 16, k - 3, 2
+            elif not value and n >= 11:
+                k = min(n, 138)
+                yield 18, k - 11, 7
+            elif not value and n >= 3:
+                k = min(n, 10)
+                yield 17, k - 3, 3
+            else:
+                k = 1
+                yield value, 0, 0
+            n -= k
 
 
 #: Fixed value: a specimen of running text whose letters stand for the usual weights of bytes.
@@ -553,23 +627,12 @@ def _tables(lengths: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.array([words.get(s, (0, 0))[k] for s in range(256)], t) for k, t in enumerate((np.uint64, np.int64)))
 
 
-def encode_image(samples: np.ndarray, width: int) -> bytes:
-    """A VP8L stream of red, green, blue samples; the cheaper of two fixed codes is used."""
-    counts = np.bincount(samples, minlength=256)
-    lengths = min((text_code(), flat_code()), key=lambda c: (int(counts @ _tables(c)[1]), c == flat_code()))
-    height = len(samples) // (3 * width)
-    out = Writer()
-    out.put(0x2F, 8)
-    out.put(width - 1, 14)
-    out.put(height - 1, 14)
-    out.put(0, 4)
-    head, n = _head(lengths)
-    out.put(head, n)
-    words, sizes = _tables(lengths)
-    s = samples.reshape(-1, 3)[:, [1, 0, 2]].reshape(-1)
-    value, size = words[s], sizes[s]
+def _joined(out: Writer, value: np.ndarray, size: np.ndarray) -> bytes:
+    """The writer's bits and then the values of so many bits each."""
+    if not len(value):
+        return out.value.to_bytes(out.n + 7 >> 3, "little")
     at = np.cumsum(size) - size + (out.n & 31)
-    shifted = value << (at & 31).astype(np.uint64)
+    shifted = value.astype(np.uint64) << (at & 31).astype(np.uint64)
     where = at >> 5
     total = int(at[-1] + size[-1]) + 31 >> 5
     # Bits of different symbols never meet, so adding them is as good as joining them.
@@ -577,11 +640,228 @@ def encode_image(samples: np.ndarray, width: int) -> bytes:
     high = np.bincount(where + 1, weights=(shifted >> np.uint64(32)).astype(np.float64), minlength=total + 1)
     body = (low[: total + 1] + high[: total + 1]).astype(np.uint64).astype("<u4")
     whole = out.n & ~31
-    first = out.value >> whole
-    body[0] |= np.uint32(first)
+    body[0] |= np.uint32(out.value >> whole)
     data = (out.value & ((1 << whole) - 1)).to_bytes(whole // 8, "little") + body.tobytes()
-    bits = whole + int(at[-1] + size[-1])
-    return data[: bits + 7 >> 3]
+    return data[: whole + int(at[-1] + size[-1]) + 7 >> 3]
+
+
+def _opened(width: int, height: int) -> Writer:
+    out = Writer()
+    out.put(0x2F, 8)
+    out.put(width - 1, 14)
+    out.put(height - 1, 14)
+    out.put(0, 4)
+    return out
+
+
+#: Pixels that must repeat for a reference, and the longest one.
+LEAST_REPEAT, MOST_REPEAT = 6, 4096
+
+
+def repeats(pixels: np.ndarray) -> list[tuple[int, int, int]]:
+    """(position, length, distance) of pieces that stand earlier in the image, greedily from the front."""
+    n = len(pixels) - LEAST_REPEAT + 1
+    if n < 2:
+        return []
+    key = np.zeros(n, np.uint64)
+    for k in range(LEAST_REPEAT):
+        key = (key ^ pixels[k : k + n].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    order = np.argsort(key, kind="stable")
+    same = key[order][1:] == key[order][:-1]
+    before = np.full(n, -1, np.int64)
+    before[order[1:][same]] = order[:-1][same]
+    found, at = [], 0
+    for i in np.flatnonzero(before >= 0).tolist():
+        if i < at:
+            continue
+        j = int(before[i])
+        size, most = 0, min(MOST_REPEAT, len(pixels) - i)
+        while size < most:  # compare in pieces that grow
+            step = min(max(32, size), most - size)
+            unlike = np.flatnonzero(pixels[i + size : i + size + step] != pixels[j + size : j + size + step])
+            if len(unlike):
+                size += int(unlike[0])
+                break
+            size += step
+        if size >= LEAST_REPEAT:
+            found.append((i, size, i - j))
+            at = i + size
+    return found
+
+
+def _symbol_of(value: int) -> tuple[int, int, int]:
+    """(prefix symbol, extra bits, their number) of a length or distance."""
+    v = value - 1
+    if v < 4:
+        return v, 0, 0
+    n = v.bit_length() - 2
+    return 2 * n + 2 + (v >> n & 1), v & ((1 << n) - 1), n
+
+
+@cache
+def _near_codes(width: int) -> dict[int, int]:
+    """The short code of each distance that has one."""
+    out: dict[int, int] = {}
+    for k, (dx, dy) in enumerate(NEARBY, 1):
+        out.setdefault(max(1, dx + dy * width), k)
+    return out
+
+
+def _entropy(values: np.ndarray, size: int = 256) -> float:
+    """Bits that an ideal code takes for the values."""
+    counts = np.bincount(values, minlength=size)
+    counts = counts[counts > 0]
+    return float((counts * np.log2(counts.sum() / counts)).sum())
+
+
+#: Bits that a code's table takes, about; a plan is taken over the fixed code if it saves this share of its bits, for it is slower to read.
+TABLE_BITS, WORTH = 450, 0.15
+
+
+def coded_pixels(out: Writer, pixels: np.ndarray, width: int, top: bool, cache_bits: int = 0, found: list[tuple[int, int, int]] | None = None) -> bytes | None:
+    """Pixels with codes of their own, references and a cache; ends the stream if ``top``, else the writer goes on."""
+    found = (repeats(pixels) if top else []) if found is None else found
+    near = _near_codes(width)
+    literal = np.ones(len(pixels), bool)
+    for i, n, _ in found:
+        literal[i : i + n] = False
+    where = np.flatnonzero(literal)
+    c = _channels(pixels)
+    green = c[:, 1].astype(np.int64)
+    cached = np.zeros(len(pixels), bool)
+    if cache_bits:
+        # A literal is in the cache if the last pixel before it with its place there is the same one.
+        slot = ((pixels.astype(np.uint64) * np.uint64(0x1E35A7BD) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - cache_bits)).astype(np.int64)
+        order = np.argsort(slot, kind="stable")
+        hit = (slot[order][1:] == slot[order][:-1]) & (pixels[order][1:] == pixels[order][:-1])
+        cached[order[1:][hit]] = True
+        green = np.where(cached, 280 + slot, green)
+    plain = where[~cached[where]]
+    lengths = [_symbol_of(n) for _, n, _ in found]
+    far = [_symbol_of(near.get(d, d + 120)) for _, _, d in found]
+    counts = [np.bincount(np.r_[green[where], [256 + x[0] for x in lengths]].astype(np.int64), minlength=280 + (1 << cache_bits if cache_bits else 0))]
+    counts += [np.bincount(c[plain, k], minlength=256) for k in (2, 0, 3)] + [np.bincount([x[0] for x in far], minlength=40)]
+    codes = []
+    for n in counts:
+        if not n.any():
+            n[0] = 1
+        codes.append(huffman_lengths(n.tolist()))
+    out.put(bool(cache_bits), 1)
+    if cache_bits:
+        out.put(cache_bits, 4)
+    if top:
+        out.put(0, 1)  # one group of codes
+    for x in codes:
+        put_code(out, x)
+    tables = []
+    for x in codes:
+        words = code(x).words
+        tables.append((np.array([words.get(k, (0, 0))[0] for k in range(len(x))], np.uint64), np.array([words.get(k, (0, 0))[1] for k in range(len(x))], np.int64)))
+    value, size = np.zeros((len(pixels), 4), np.uint64), np.zeros((len(pixels), 4), np.int64)
+    value[where, 0], size[where, 0] = tables[0][0][green[where]], tables[0][1][green[where]]
+    for k, channel in enumerate((2, 0, 3), 1):
+        value[plain, k], size[plain, k] = tables[k][0][c[plain, channel]], tables[k][1][c[plain, channel]]
+    for (i, _, _), (a, e, n), (b, f, m) in zip(found, lengths, far, strict=True):
+        value[i] = [tables[0][0][256 + a], e, tables[4][0][b], f]
+        size[i] = [tables[0][1][256 + a], n, tables[4][1][b], m]
+    used = size.reshape(-1) > 0
+    value, size = value.reshape(-1)[used], size.reshape(-1)[used]
+    if top:
+        return _joined(out, value, size)
+    for v, n in zip(value.tolist(), size.tolist(), strict=True):
+        out.put(v, n)
+    return None
+
+
+def _plans(pixels: np.ndarray, width: int, colours: np.ndarray, index: np.ndarray, found: list[tuple[int, int, int]]) -> list[tuple[float, str]]:
+    """(bits, about; name) of the ways to store an image that may beat a fixed code."""
+    c = _channels(pixels).astype(np.int64)
+    grid = c.reshape(-1, width, 4)
+    n, out = len(pixels), []
+    if len(colours) <= 256:
+        out.append((32 * len(colours) + n * (8 >> index_bits(len(colours))) / 8 * 4 + TABLE_BITS if len(colours) <= 16 else 32 * len(colours) + _entropy(index) + TABLE_BITS, "palette"))
+    channels = lambda a: sum(_entropy(a[..., k].ravel() & 255) for k in range(3)) + 3 * TABLE_BITS
+    out.append((channels(c - c[:, 1:2] * [1, 0, 1, 0]), "green"))
+    mixed = c.copy()
+    signed = lambda v: (v & 255) - ((v & 128) << 1)
+    mixed[:, 0] -= signed(c[:, 2])  # blue from red
+    out.append((channels(mixed) + TABLE_BITS / 4, "cross"))
+    if n > width:
+        up, left = grid.copy(), grid.copy()
+        up[1:] -= grid[:-1]
+        left[:, 1:] -= grid[:, :-1]
+        out += [(channels(up) + TABLE_BITS / 4, "up"), (channels(left) + TABLE_BITS / 4, "left")]
+    if found:
+        rest = np.ones(n, bool)
+        for i, size, _ in found:
+            rest[i : i + size] = False
+        out.append((channels(c[rest]) + 30 * len(found) + TABLE_BITS if rest.any() else 30 * len(found), "references"))
+    if len(colours) * 3 < n:
+        out.append((_entropy(index) + 24 * len(colours) + 2 * TABLE_BITS, "cache"))
+    return out
+
+
+def _blocks(out: Writer, kind: int, width: int, height: int, value: int) -> None:
+    """A transform whose blocks, as large as can be, all have one value."""
+    out.put(1, 1)
+    out.put(kind, 2)
+    out.put(7, 3)  # blocks of 512 pixels a side
+    coded_pixels(out, np.full(_parts(width, 9) * _parts(height, 9), value, np.uint32), _parts(width, 9), False)
+
+
+def encode_image(samples: np.ndarray, width: int) -> bytes:
+    """A VP8L stream of red, green, blue samples.
+
+    The cheaper of two fixed codes, or whichever of a palette, a predictor, a mix
+    of channels, references or a colour cache saves ``WORTH`` of its bits. The choice
+    depends on the samples alone.
+    """
+    counts = np.bincount(samples, minlength=256)
+    lengths = min((text_code(), flat_code()), key=lambda c: (int(counts @ _tables(c)[1]), c == flat_code()))
+    fixed = int(counts @ _tables(lengths)[1]) + _head(lengths)[1]
+    height = len(samples) // (3 * width)
+    rgb = samples.reshape(-1, 3).astype(np.uint32)
+    pixels = np.uint32(0xFF000000) | rgb[:, 0] << np.uint32(16) | rgb[:, 1] << np.uint32(8) | rgb[:, 2]
+    colours, index = np.unique(pixels, return_inverse=True)
+    found = repeats(pixels)
+    bits, plan = min(_plans(pixels, width, colours, index, found))
+    out = _opened(width, height)
+    if bits > (1 - WORTH) * fixed:
+        head, n = _head(lengths)
+        out.put(head, n)
+        words, sizes = _tables(lengths)
+        s = samples.reshape(-1, 3)[:, [1, 0, 2]].reshape(-1)
+        return _joined(out, words[s], sizes[s])
+    cache_bits, across = 0, width
+    if plan == "palette":
+        out.put(1, 1)
+        out.put(INDEXING, 2)
+        out.put(len(colours) - 1, 8)
+        steps = np.diff(np.concatenate([np.zeros((1, 4), np.int64), _channels(colours).astype(np.int64)]), axis=0) & 255
+        coded_pixels(out, _packed(steps), len(colours), False)
+        share = index_bits(len(colours))
+        across = _parts(width, share)
+        each = np.zeros((height, across << share), np.uint32)
+        each[:, :width] = index.reshape(height, width)
+        each = each.reshape(height, across, 1 << share) << (np.arange(1 << share, dtype=np.uint32) * np.uint32(8 >> share))
+        pixels = np.uint32(0xFF000000) | np.bitwise_or.reduce(each, axis=2).reshape(-1) << np.uint32(8)
+    elif plan in ("up", "left"):
+        mode = 2 if plan == "up" else 1
+        _blocks(out, PREDICTOR, width, height, 0xFF000000 | mode << 8)
+        pixels = predictor(pixels, width, np.full((_parts(height, 9), _parts(width, 9)), mode), 9, invert=False)
+    elif plan == "green":
+        out.put(1, 1)
+        out.put(SUBTRACT_GREEN, 2)
+        pixels = subtract_green(pixels, invert=False)
+    elif plan == "cross":
+        # All of red goes into blue: 32 of 32 parts.
+        _blocks(out, CROSS_COLOUR, width, height, 0xFF000000 | 32 << 16)
+        pixels = cross_colour(pixels, width, np.full((_parts(height, 9), _parts(width, 9)), 0xFF000000 | 32 << 16, np.uint32), 9, invert=False)
+    elif plan == "cache":
+        cache_bits = min(11, max(4, int(np.ceil(np.log2(len(colours)))) + 1))
+    out.put(0, 1)
+    return coded_pixels(out, pixels, across, True, cache_bits, found if plan in ("references", "cache") else None)
 
 
 def payload(text: str | None) -> tuple[bytes, int]:

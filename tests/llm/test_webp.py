@@ -206,3 +206,53 @@ def test_extended_containers_are_read():
     body = b"WEBP" + chunk(b"VP8X", bytes(10)) + chunk(b"ICCP", b"odd") + chunk(b"VP8L", stream) + chunk(b"EXIF", b"x")
     extended = b"RIFF" + len(body).to_bytes(4, "little") + body
     assert list(W.unwrapped(extended + W.wrapped(stream))) == [stream, stream]
+
+
+#: The alpha plane of a small picture as another encoder stored it (a lossless stream without its header), and what a PNG of the same picture says it is.
+OTHERS_STREAM = (
+    "27a2a89124e57ae7185fe7df2a998898ff74718de02630e2e18b7732c8c1115c832b30e8b078158e785135c1080c024f92a06ab055191cd6b66d462f4ec6763cb6ed77fbaf29ae21a2ff49d1fd8f90f7ba4449241b3a259134f3146d0ec7d3e5"
+    "1620f40b14be90e183b71a329e36827f1d297e4e7608fb889eb391ef997346e83282dbf8cc48b2f745307d20fd36178c2132562da5d66b23bc5de3a55915d59c81a4d96e96758a18310f8aaa2c5034fa3082dfba6b505229b52dcfe954140a010000"
+)
+OTHERS_SHA256 = "00d64fd72159f0e240eac94eb2a256366dad5e267b45a1920aa72771a8e6ff8c"
+
+
+def test_a_stream_of_another_encoder():
+    head = (0x2F | 15 << 8 | 15 << 22 | 1 << 36).to_bytes(5, "little")
+    width, height, pixels, used = W.decode_image(head + bytes.fromhex(OTHERS_STREAM))
+    green = (pixels >> 8 & 255).astype(np.uint8)
+    assert (width, height, used) == (16, 16, [W.INDEXING])
+    assert hashlib.sha256(green.tobytes()).hexdigest() == OTHERS_SHA256
+
+
+def test_the_writer_uses_what_helps(monkeypatch):
+    """Each way to store an image is taken by some text, read back exactly, and smaller than the fixed code."""
+    rnd = random.Random(8)
+    line = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(192))
+    words = [bytes(rnd.randrange(33, 127) for _ in range(3)) for _ in range(300)]
+    samples = {
+        "palette": b" " * 960, "references": (line[:100] * 60).encode(), "up": b"".join(bytes((k * 7 + x * 5 + 3 * rnd.randrange(2)) % 256 for x in range(192)) for k in range(40)),
+        "cache": b"".join(rnd.choice(words) for _ in range(6_400)), "left": bytes(v for k in range(6_400) for v in [(k % 64 * 3 + k // 64 * rnd.randrange(90)) % 256] * 3),
+        "green": b"".join(bytes([v, v, v]) for v in (rnd.randrange(256) for _ in range(6_400))), "cross": b"".join(bytes([v & 127, rnd.randrange(256), v & 127]) for v in (rnd.randrange(256) for _ in range(6_400))),
+    }
+    taken = {}
+    for name, data in samples.items():
+        data = data[: len(data) // 192 * 192]
+        pixels = np.frombuffer(data, np.uint8).reshape(-1, 3).astype(np.uint32)
+        pixels = np.uint32(0xFF000000) | pixels[:, 0] << np.uint32(16) | pixels[:, 1] << np.uint32(8) | pixels[:, 2]
+        taken[name] = min(W._plans(pixels, 64, *np.unique(pixels, return_inverse=True), W.repeats(pixels)))[1]
+        media = W.stored(data)
+        assert W.restored(media)[0] == data and len(media) < len(data)
+        monkeypatch.setattr(W, "WORTH", 2.0)
+        assert len(media) < len(W.stored(data))
+        monkeypatch.undo()
+    assert set(taken.values()) >= {"palette", "references", "cache", "green", "cross"}, taken
+
+
+def test_windows_of_the_decoder_end_where_the_stream_does():
+    rnd = np.random.default_rng(4)
+    for n in (64, 640, 64 * 37):
+        data = rnd.integers(97, 100, 3 * n, dtype=np.uint8)
+        media = W.encode_image(data, 64)
+        assert (W._channels(W.decode_image(media)[2])[:, 2::-1].reshape(-1) == data).all()
+        with pytest.raises(ValueError):
+            W.decode_image(media[: len(media) // 2])
