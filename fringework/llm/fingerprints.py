@@ -1,14 +1,16 @@
 """Canonical exact fingerprints of documents.
 
-A text is canonicalised (Unicode NFC by the ICU library that Spark ships, lower
-case, runs of white space to one space, ends trimmed) and hashed to 128 bits:
+A text is canonicalised (Unicode NFC and full case folding by the ICU library that
+Spark ships, runs of white space to one space, ends trimmed) and hashed to 128 bits:
 XXH64 of the canonical text with two seeds. Documents group by the hash, and the
 canonical bytes are compared inside every bucket of two or more. Only DataFrame
 functions are used.
 
 Cases: a null text counts as empty; a null key is the lowest key and is kept;
 repeated rows each keep an output row, ties in the key are ordered by the text.
-An empty table gives no rows. Other columns of the input are ignored.
+An empty table gives no rows. Other columns of the input are ignored, whatever
+their names. Very long texts are canonicalised and hashed whole. Keys are whole
+numbers where the next document is asked for, else of any type.
 """
 
 from __future__ import annotations
@@ -35,14 +37,15 @@ BROADCAST_KEYS = 250_000
 
 
 def with_canonical(df: DataFrame, text: Column, name: str = "_canonical") -> DataFrame:
-    """``df`` with the canonical text: NFC, lower case, white space folded.
+    """``df`` with the canonical text: NFC, case folded (and NFC again, which folding may undo), white space folded.
 
     The steps are columns of their own, so each is made once for a row. ASCII is
     in NFC already and has no wide space; only other texts take those steps.
     """
     narrow = F.octet_length(text) == F.length(text)
-    composed = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(False))
-    out = df.withColumn(name, F.lower(F.when(narrow, text).otherwise(composed)))
+    composed = lambda t: F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), t, F.lit(False))
+    folded = F.reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), composed(text), F.lit(True))
+    out = df.withColumn(name, F.when(narrow, F.lower(text)).otherwise(composed(folded)))
     out = out.withColumn(name, F.regexp_replace(name, _ASCII_SPACE, " "))
     wide = (F.octet_length(name) != F.length(name)) & F.col(name).rlike(_MAYBE_WIDE)
     out = out.withColumn(name, F.when(wide, F.regexp_replace(name, _WIDE_SPACE, " ")).otherwise(F.col(name)))
