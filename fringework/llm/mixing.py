@@ -170,31 +170,28 @@ def draw(key: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def _with_factors(docs: DataFrame, text: str, kind: Column | None, **fit) -> tuple[DataFrame, list[str]]:
-    """``docs`` with source, lang, topic, tokens, weight and probability of its cells, and the names they got."""
-    rows, names = _cells_of(docs, text, kind)
-    factors = calibrated(cell_totals(rows, names), **fit).drop("residual")
-    more = free_names(rows.columns, "weight", "probability")
-    factors = factors.withColumnsRenamed(dict(zip((*DIMENSIONS, "weight", "probability"), (*names[:3], *more), strict=True)))
+def weighted(docs: DataFrame, key: str = "doc_id", text: str = "text", topic: Column | None = None, **fit) -> DataFrame:
+    """A row per row of ``docs``: key, source, lang, topic, n_tokens, weight, probability, selected; texts are read once."""
+    rows, names = _cells_of(docs, text, topic)
+    seen = written(rows.select(F.col(key).alias("key"), *(F.col(n).alias(d) for n, d in zip(names, (*DIMENSIONS, "n_tokens"), strict=True))), "cells-by-row")
+    factors = calibrated(cell_totals(seen, [*DIMENSIONS, "n_tokens"]), **fit).drop("residual")
     if factors.count() <= BROADCAST_CELLS:
         factors = F.broadcast(factors)
-    return rows.join(factors, names[:3], "left"), [*names, *more]
-
-
-def weighted(docs: DataFrame, key: str = "doc_id", text: str = "text", topic: Column | None = None, **fit) -> DataFrame:
-    """A row per row of ``docs``: key, source, lang, topic, n_tokens, weight, probability, selected."""
-    rows, names = _with_factors(docs, text, topic, **fit)
-    *cell, tokens, weight, probability = names
-    return rows.select(
-        key, *(F.col(n).alias(d) for n, d in zip(cell, DIMENSIONS, strict=True)), F.col(tokens).alias("n_tokens"), F.round(weight, 6).alias("weight"),
-        F.round(probability, 6).alias("probability"), (draw(F.col(key)) < F.col(probability)).alias("selected"),
-    )
+    drawn = seen.join(factors, list(DIMENSIONS), "left")
+    return drawn.select(
+        F.col("key").alias(key), *DIMENSIONS, "n_tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), (draw(F.col("key")) < F.col("probability")).alias("selected")
+    )
 
 
 def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", topic: Column | None = None, **fit) -> DataFrame:
     """The drawn rows of ``docs`` with its columns; texts are read and do not move."""
-    rows, names = _with_factors(docs, text, topic, **fit)
-    return rows.where(draw(F.col(key)) < F.col(names[-1])).select(*docs.columns)
+    rows, names = _cells_of(docs, text, topic)
+    factors = calibrated(cell_totals(rows, names), **fit)
+    chance = free_names(rows.columns, "probability")[0]
+    factors = factors.select(*(F.col(d).alias(n) for d, n in zip(DIMENSIONS, names, strict=False)), F.col("probability").alias(chance))
+    if factors.count() <= BROADCAST_CELLS:
+        factors = F.broadcast(factors)
+    return rows.join(factors, names[:3], "left").where(draw(F.col(key)) < F.col(chance)).select(*docs.columns)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
