@@ -23,6 +23,14 @@ def gaussian(a: np.ndarray, sigma: float) -> np.ndarray:
     return a
 
 
+def border_response(n: int, sigma: float) -> np.ndarray:
+    """What the filter makes of ones along an axis: the share of its weight inside."""
+    w = gaussian_weights(sigma)
+    r, sums = len(w) // 2, np.concatenate([[0.0], np.cumsum(w)])
+    i = np.arange(n)
+    return sums[np.minimum(n - 1 - i, r) + r + 1] - sums[r - np.minimum(i, r)]
+
+
 def smooth_surface(field: np.ndarray, sigma: float, exclude: np.ndarray | None = None) -> np.ndarray:
     """Normalised convolution over valid pixels; NaN where they weigh almost nothing."""
     ok = np.isfinite(field) if exclude is None else np.isfinite(field) & ~exclude

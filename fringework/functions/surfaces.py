@@ -99,7 +99,7 @@ class Surface:
 
     @classmethod
     def from_dips(cls, s_nodes: Sequence[float], z_nodes: Sequence[float], spans: Sequence[tuple[float, float]], dips: Sequence[float], depth: float | None = None, smoothness: float = SMOOTHNESS) -> Surface:
-        """Stretches of the trace that dip by an angle each (over 90: to the left), smooth between."""
+        """Stretches of the trace that dip by an angle each, to the left (over 90: to the right), smooth between."""
         if len(spans) != len(dips):
             raise ValueError("every stretch has one dip")
         z_nodes = np.asarray(z_nodes, float)
@@ -109,7 +109,7 @@ class Surface:
             s = np.linspace(a, b, max(2, SAMPLES_A_CELL * int(np.ceil((b - a) / np.diff(s_nodes).mean()))))
             z = np.linspace(z_nodes[0], depth, SAMPLES_A_CELL * (len(z_nodes) - 1) + 1)[1:]
             ss, zz = (m.ravel() for m in np.meshgrid(s, z))
-            run = 0.0 if abs(dip - 90) < 1e-9 else -1 / np.tan(np.radians(dip))
+            run = 0.0 if abs(dip - 90) < 1e-9 else 1 / np.tan(np.radians(dip))
             below.append((ss, zz, (zz - z_nodes[0]) * run))
         return cls._through(s_nodes, z_nodes, below, smoothness)
 

@@ -59,6 +59,57 @@ def tangents(trace: Sequence[Vertex]) -> np.ndarray:
     return t / np.linalg.norm(t, axis=1, keepdims=True)
 
 
+def left_normals(trace: Sequence[Vertex]) -> np.ndarray:
+    """Unit normals to the left of the trace at its vertices."""
+    t = tangents(trace)
+    return np.column_stack([-t[:, 1], t[:, 0]])
+
+
+def without_repeats(trace: Sequence[Vertex]) -> np.ndarray:
+    """The trace without vertices that repeat the one before; two must be left."""
+    xy = np.asarray(trace, float)
+    keep = np.r_[True, (np.diff(xy, axis=0) != 0).any(axis=1)]
+    if keep.sum() < 2:
+        raise ValueError("a trace needs two vertices")
+    return xy[keep]
+
+
+def at_length(trace: Sequence[Vertex], share: float) -> np.ndarray:
+    """The place at a share of the trace's length; half of it is where a frame begins."""
+    xy = np.asarray(trace, float)
+    s = arc_length(xy[:, 0], xy[:, 1])
+    return np.array([np.interp(share * s[-1], s, xy[:, k]) for k in (0, 1)])
+
+
+def straight_segments(trace: Sequence[Vertex], count: int = 1) -> np.ndarray:
+    """(count, 4): chords x0, y0, x1, y1 between places of equal length along the trace."""
+    ends = np.array([at_length(trace, k / count) for k in range(count + 1)])
+    return np.column_stack([ends[:-1], ends[1:]])
+
+
+def pushed_down(segment: Sequence[float], depth: float, dip: float) -> np.ndarray:
+    """(2, 3): a segment's ends on a plane that dips to its left, at a depth; beyond 90 degrees it leans the other way."""
+    x0, y0, x1, y1 = segment
+    run = 0.0 if abs(dip - 90) < 0.01 else depth / np.tan(np.radians(dip))
+    n = np.array([y0 - y1, x1 - x0]) / np.hypot(x1 - x0, y1 - y0)
+    return np.column_stack([np.array([[x0, y0], [x1, y1]]) + run * n, [-depth, -depth]])
+
+
+def from_curvilinear(s: Column, across: Column, trace: Sequence[Vertex]) -> tuple[Column, Column]:
+    """The place at a distance along the trace and to its left; beyond the ends the first and last segments go on."""
+    xy = np.asarray(trace, float)
+    length = arc_length(xy[:, 0], xy[:, 1])
+    x = y = None
+    for i in reversed(range(len(xy) - 1)):
+        d = (xy[i + 1] - xy[i]) / (length[i + 1] - length[i])
+        along = s - F.lit(float(length[i]))
+        px = F.lit(float(xy[i, 0])) + along * F.lit(float(d[0])) - across * F.lit(float(d[1]))
+        py = F.lit(float(xy[i, 1])) + along * F.lit(float(d[1])) + across * F.lit(float(d[0]))
+        here = s < F.lit(float(length[i + 1]))
+        x, y = (px, py) if x is None else (F.when(here, px).otherwise(x), F.when(here, py).otherwise(y))
+    return x, y
+
+
 def min_curvature_radius(trace: Sequence[Vertex]) -> float:
     """The least radius by second derivatives along the arc; infinite for a straight trace."""
     xy = np.asarray(trace, float)
@@ -85,20 +136,20 @@ def patch_origins(n: int, patch: int, step: int) -> list[int]:
 
 
 def offset_locations(n: int, window: int, count: int | None = None, step: int | None = None, shift: int = 0) -> list[int]:
-    """Origins of a uniform lattice of windows, inset by an a-priori shift; give exactly one of ``count`` and ``step``."""
+    """Origins of a uniform lattice of windows, inset by an a-priori shift; give exactly one of ``count`` and ``step``. None where they do not fit."""
     if (count is None) == (step is None):
         raise ValueError("give a count or a step")
     low = max(0, -shift)
     span = min(n, n - shift) - window - low
     if span < 0:
-        raise ValueError("the window does not fit")
+        return []
     if step is not None:
         return list(range(low, low + span + 1, step))
     if count == 1:
         return [low + span // 2]
     gap = span // (count - 1)
     if gap < 1:
-        raise ValueError("too many locations")
+        return []
     return [low + i * gap for i in range(count)]
 
 
@@ -232,6 +283,31 @@ def tmerc_columns(lon: Column, lat: Column, lon0: float) -> tuple[Column, Column
     return F.lit(FALSE_EASTING) + F.lit(SCALE * _RADIUS) * e, F.lit(SCALE * _RADIUS) * n
 
 
+#: The series that gives the latitude of a conformal latitude, in powers of the third flattening.
+_DELTA = (
+    2 * _N - 2 * _N**2 / 3 - 2 * _N**3 + 116 * _N**4 / 45 + 26 * _N**5 / 45 - 2854 * _N**6 / 675,
+    7 * _N**2 / 3 - 8 * _N**3 / 5 - 227 * _N**4 / 45 + 2704 * _N**5 / 315 + 2323 * _N**6 / 945,
+    56 * _N**3 / 15 - 136 * _N**4 / 35 - 1262 * _N**5 / 105 + 73814 * _N**6 / 2835,
+    4279 * _N**4 / 630 - 332 * _N**5 / 35 - 399572 * _N**6 / 14175,
+    4174 * _N**5 / 315 - 144838 * _N**6 / 6237,
+    601676 * _N**6 / 22275,
+)
+
+
+def lonlat_columns(x: Column, y: Column, lon0: float) -> tuple[Column, Column]:
+    """Longitude and latitude of easting and northing as expressions: the inverse series, without iteration."""
+    xi, eta = y / F.lit(SCALE * _RADIUS), (x - F.lit(FALSE_EASTING)) / F.lit(SCALE * _RADIUS)
+    a, e = xi, eta
+    for k, b in enumerate(_BETA, 1):
+        a = a - F.lit(b) * F.sin(2 * k * xi) * F.cosh(2 * k * eta)
+        e = e - F.lit(b) * F.cos(2 * k * xi) * F.sinh(2 * k * eta)
+    chi = F.asin(F.sin(a) / F.cosh(e))
+    lat = chi
+    for k, d in enumerate(_DELTA, 1):
+        lat = lat + F.lit(d) * F.sin(2 * k * chi)
+    return F.lit(lon0) + F.degrees(F.atan2(F.sinh(e), F.cos(a))), F.degrees(lat)
+
+
 class LocalFrame:
     """Metres about an origin: transverse Mercator about its own meridian, the origin taken off."""
 
@@ -246,6 +322,21 @@ class LocalFrame:
     def to_lonlat(self, x: float, y: float) -> tuple[float, float]:
         return from_tmerc(x + self.x0, y + self.y0, self.lon0)
 
+    @classmethod
+    def of_trace(cls, trace: Sequence[Vertex]) -> LocalFrame:
+        """About the middle of a trace in lon/lat."""
+        return cls(*map(float, at_length(trace, 0.5)))
+
+    def from_zone(self, x: Column, y: Column, epsg: int) -> tuple[Column, Column]:
+        """Local metres of places in a UTM zone: by way of lon/lat where the meridians differ, else by a shift."""
+        if not (32601 <= epsg <= 32660 or 32701 <= epsg <= 32760):
+            raise ValueError(f"{epsg} is no UTM zone")
+        lon0 = (epsg % 100) * 6 - 183.0
+        y = y - F.lit(10_000_000.0) if epsg >= 32700 else y
+        if lon0 == self.lon0:
+            return x - F.lit(self.x0), y - F.lit(self.y0)
+        return self.columns(*lonlat_columns(x, y, lon0))
+
     def columns(self, lon: Column, lat: Column) -> tuple[Column, Column]:
         x, y = tmerc_columns(lon, lat, self.lon0)
         return x - F.lit(self.x0), y - F.lit(self.y0)

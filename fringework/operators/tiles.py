@@ -64,6 +64,42 @@ def gaussian_smooth(pixels: DataFrame, value: str, sigma: float, ny: int, nx: in
     return map_tiles(pixels, lambda a: [K.smooth_surface(a, sigma)], [value], ["smooth"], ny, nx, int(4 * sigma + 0.5), tile)
 
 
+def _response(column: str, n: int, values: np.ndarray, half: int) -> Column:
+    """What the filter has of the raster along an axis, by the distance to the nearer end; one where neither is near."""
+    table = F.array(*(F.lit(float(v)) for v in (values[:half] if n > 2 * half else values)))
+    at = F.least(F.col(column), F.lit(n - 1) - F.col(column)) if n > 2 * half else F.col(column)
+    return F.coalesce(F.get(table, at.cast("int")), F.lit(1.0))
+
+
+def gaussian_multilook(pixels: DataFrame, value: str, looks: int, ny: int, nx: int, min_valid_fraction: float = 0.5, downsample: bool = True, tile: int = TILE, keys: Sequence[str] = ()) -> DataFrame:
+    """Values smoothed by a Gaussian of ``looks`` pixels over the valid ones, at the middle of each block of whole blocks or at every pixel.
+
+    The share of valid weight is measured against what the filter has of the
+    raster at that place (it loses weight at the border), so an edge is no hole.
+    """
+    half = int(4 * looks + 0.5)
+    along = K.border_response(ny, looks), K.border_response(nx, looks)
+
+    def kernel(a: np.ndarray) -> list[np.ndarray]:
+        valid = np.isfinite(a)
+        return [K.gaussian(np.where(valid, a, 0.0), looks), K.gaussian(valid.astype(float), looks)]
+
+    made = map_tiles(pixels, kernel, [value], ["_s", "_w"], ny, nx, half, tile, keys)
+    out = made.withColumn(value, F.when(F.col("_w") >= F.lit(min_valid_fraction) * _response("yi", ny, along[0], half) * _response("xi", nx, along[1], half), F.col("_s") / F.col("_w"))).select(*keys, "yi", "xi", value)
+    if not downsample:
+        return out
+    first = looks // 2
+    whole = (F.col("yi") < ny // looks * looks) & (F.col("xi") < nx // looks * looks)
+    middle = (F.col("yi") % looks == first) & (F.col("xi") % looks == first)
+    return out.where(whole & middle).select(*keys, F.expr(f"yi div {looks}").alias("yi"), F.expr(f"xi div {looks}").alias("xi"), value)
+
+
+def deramped_smooth(pixels: DataFrame, value: str, sigma: float, ny: int, nx: int, tile: int = TILE) -> DataFrame:
+    """The value less its smooth surface; a smooth signal goes with it."""
+    surface = gaussian_smooth(pixels, value, sigma, ny, nx, tile)
+    return pixels.join(surface, ["yi", "xi"]).withColumn(value, F.col(value) - F.col("smooth")).drop("smooth")
+
+
 def outliers_removed(pixels: DataFrame, value: str, sigma: float, threshold: float, rounds: int, ny: int, nx: int, tile: int = TILE) -> DataFrame:
     return map_tiles(pixels, lambda a: [K.without_outliers(a, sigma, threshold, rounds)], [value], [value], ny, nx, int(4 * sigma + 0.5) * rounds, tile)
 

@@ -32,8 +32,8 @@ def query(sql: str):
 SIGMA = 1.0
 
 
-def _smooth_sql() -> str:
-    w = [float(x) for x in K.gaussian_weights(SIGMA)]
+def _smooth_sql(sigma: float = SIGMA, what: str = "SELECT yi, xi, round(CASE WHEN w > 1e-6 THEN f / w END, 6) AS smooth FROM c") -> str:
+    w = [float(x) for x in K.gaussian_weights(sigma)]
     r = len(w) // 2
 
     def line(column: str, part: str, order: str) -> str:
@@ -45,7 +45,7 @@ def _smooth_sql() -> str:
 WITH {SCENE_SQL}, a AS (SELECT yi, xi, coalesce(v, 0)::DOUBLE AS f, (v IS NOT NULL)::INTEGER::DOUBLE AS w FROM scene),
 b AS (SELECT yi, xi, {line('f', 'yi', 'xi')} AS f, {line('w', 'yi', 'xi')} AS w FROM a),
 c AS (SELECT yi, xi, {line('f', 'xi', 'yi')} AS f, {line('w', 'xi', 'yi')} AS w FROM b)
-SELECT yi, xi, round(CASE WHEN w > 1e-6 THEN f / w END, 6) AS smooth FROM c"""
+{what}"""
 
 
 @query(_smooth_sql())
@@ -53,6 +53,28 @@ def gaussian_smooth(spark, sf_dir):
     return rounded(L.gaussian_smooth(R.scene(spark, sf_dir), "v", SIGMA, *_size(spark, sf_dir, "events", "event_id", SCENE_WIDTH), tile=64), "smooth")
 
 
+@query(_smooth_sql(2.0, "SELECT scene.yi, scene.xi, round(v - f / w, 6) + 0.0::DOUBLE AS v FROM c JOIN scene USING (yi, xi)"))
+def deramp_smooth(spark, sf_dir):
+    return rounded(L.deramped_smooth(R.scene(spark, sf_dir), "v", 2.0, *_size(spark, sf_dir, "events", "event_id", SCENE_WIDTH), tile=64), "v")
+
+
+_AXIS = "SELECT i, sum(CASE WHEN i + k BETWEEN 0 AND n - 1 THEN w ELSE 0 END) AS r FROM (SELECT unnest(range(n)) AS i, n FROM (SELECT {n} AS n FROM size)) CROSS JOIN weights GROUP BY i"
+
+
+def _gaussian_sql(looks: int) -> str:
+    w = [float(x) for x in K.gaussian_weights(looks)]
+    rows = ", ".join(f"({k - len(w) // 2}, {v!r}::DOUBLE)" for k, v in enumerate(w))
+    return _smooth_sql(float(looks), f"""SELECT c.yi // {looks} AS yi, c.xi // {looks} AS xi, round(CASE WHEN w >= 0.5 * a.r * b.r THEN f / w END, 6) AS v
+FROM c JOIN down a ON a.i = c.yi JOIN across b ON b.i = c.xi, size WHERE c.yi % {looks} = {looks // 2} AND c.xi % {looks} = {looks // 2} AND c.yi < ny // {looks} * {looks} AND c.xi < nx // {looks} * {looks}""").replace(
+        "a AS (SELECT yi, xi, coalesce(v, 0)", f"size AS (SELECT max(yi) + 1 AS ny, {SCENE_WIDTH} AS nx FROM scene), weights(k, w) AS (VALUES {rows}), down AS ({_AXIS.format(n='ny')}), across AS ({_AXIS.format(n='nx')}), a AS (SELECT yi, xi, coalesce(v, 0)"
+    )
+
+
+@query(_gaussian_sql(3))
+def gaussian_multilook(spark, sf_dir):
+    return rounded(L.gaussian_multilook(R.scene(spark, sf_dir), "v", 3, *_size(spark, sf_dir, "events", "event_id", SCENE_WIDTH), tile=64), "v")
+
+
 @query("")
 def outliers(spark, sf_dir):
     return L.outliers_removed(R.scene(spark, sf_dir), "v", 2.0, 450.0, 2, *_size(spark, sf_dir, "events", "event_id", SCENE_WIDTH), tile=64)

@@ -294,3 +294,26 @@ def ramp_content_offset(spark, sf_dir):
 @query(f"WITH {UNW_SQL} SELECT pair, round(quantile_cont(abs(unw), 0.98), 6) AS scale FROM unw WHERE unw IS NOT NULL GROUP BY pair")
 def plot_percentile(spark, sf_dir):
     return rounded(R.unwrapped(spark, sf_dir).groupBy("pair").agg(F.percentile(F.abs("unw"), F.lit(0.98)).alias("scale")), "scale")
+
+
+_PLACED = "SELECT l_returnflag AS track, l_extendedprice AS v, 1 + l_tax AS w, l_quantity AS x, l_partkey::DOUBLE AS y FROM lineitem"
+
+
+def _ramp_sql() -> str:
+    parts = {"1": "1.0::DOUBLE", "x": "px", "y": "py"}
+    sums = ", ".join(f"sum(w * w * {a} * {b}) AS s{p}{q}" for p, a in parts.items() for q, b in (parts | {"v": "v"}).items())
+    det = lambda a: f"({a[0]}*({a[4]}*{a[8]}-{a[5]}*{a[7]})-{a[1]}*({a[3]}*{a[8]}-{a[5]}*{a[6]})+{a[2]}*({a[3]}*{a[7]}-{a[4]}*{a[6]}))"
+    m, rhs = [f"s{p}{q}" for p in "1xy" for q in "1xy"], ["s1v", "sxv", "syv"]
+    solved = ", ".join(f"{det([rhs[i // 3] if i % 3 == k else m[i] for i in range(9)])} / {det(m)} AS c{k}" for k in range(3))
+    return f"""
+WITH o AS ({_PLACED}), u AS (SELECT *, (x - avg(x) OVER t) / greatest(max(x) OVER t - min(x) OVER t, 1) AS px, (y - avg(y) OVER t) / greatest(max(y) OVER t - min(y) OVER t, 1) AS py FROM o WINDOW t AS (PARTITION BY track)),
+s AS (SELECT track, {sums} FROM u GROUP BY track), f AS (SELECT track, s1v / s11 AS flat, {solved} FROM s)
+SELECT track, round(any_value(flat), 4) AS "offset", round(any_value(c1), 4) AS gradient_x, round(any_value(c2), 4) AS gradient_y, round(100 * (1 - sum((v - flat) * (v - flat)) / sum(v * v)), 6) AS offset_reduction,
+       round(100 * (1 - sum((v - c0 - c1 * px - c2 * py) * (v - c0 - c1 * px - c2 * py)) / sum(v * v)), 6) AS linear_reduction, count(*) AS n FROM u JOIN f USING (track) GROUP BY track"""
+
+
+@query(_ramp_sql())
+def ramp_content_linear(spark, sf_dir):
+    rows = R.read(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("track"), F.col("l_extendedprice").alias("v"), (F.lit(1) + F.col("l_tax")).alias("w"), F.col("l_quantity").alias("x"), F.col("l_partkey").cast("double").alias("y"))
+    out = S.ramp_content(rows, "v", "w").drop("gradient_only")
+    return rounded(rounded(out, "offset", "gradient_x", "gradient_y", digits=4), "offset_reduction", "linear_reduction")

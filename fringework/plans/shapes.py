@@ -106,22 +106,35 @@ def lumped_areas(spark, sf_dir):
     return rounded(T.lumped_areas(elements, T.measured(elements, nodes).select("element_id", "area")), "area")
 
 
+# Patches and windows along the raster's rows, which grow with the table; where they do not fit there are none.
 @query(f"""
-WITH {SCENE_SQL}, n AS (SELECT max(xi) + 1 AS n FROM scene), o AS (SELECT unnest(generate_series(0, n - 32, 8)) AS origin FROM n UNION SELECT n - 32 FROM n)
+WITH {SCENE_SQL}, n AS (SELECT max(yi) + 1 AS n FROM scene), o AS (SELECT unnest(generate_series(0, n - 32, 8)) AS origin FROM n WHERE n >= 32 UNION SELECT n - 32 FROM n WHERE n >= 32)
 SELECT row_number() OVER (ORDER BY origin) - 1 AS i, origin::BIGINT AS origin FROM o""")
 def patch_origins(spark, sf_dir):
-    n = R.scene(spark, sf_dir).agg(F.max("xi")).first()[0] + 1
+    n = R.scene(spark, sf_dir).agg(F.max("yi")).first()[0] + 1
     return spark.createDataFrame(list(enumerate(T.patch_origins(n, 32, 8))), "i long, origin long")
 
 
 @query(f"""
-WITH {SCENE_SQL}, n AS (SELECT max(xi) + 1 AS n FROM scene), s AS (SELECT (n - 24 - 3) // 6 AS gap FROM n)
+WITH {SCENE_SQL}, n AS (SELECT max(yi) + 1 AS n FROM scene), s AS (SELECT (n - 24 - 3) // 6 AS gap FROM n WHERE (n - 24 - 3) // 6 >= 1)
 SELECT i::BIGINT AS i, (3 + i * gap)::BIGINT AS origin, (3 + i * gap + 12)::BIGINT AS centre FROM s, range(0, 7) AS r(i)""")
 def offset_lattice(spark, sf_dir):
-    n = R.scene(spark, sf_dir).agg(F.max("xi")).first()[0] + 1
+    n = R.scene(spark, sf_dir).agg(F.max("yi")).first()[0] + 1
     return spark.createDataFrame([(i, o, o + 12) for i, o in enumerate(T.offset_locations(n, 24, count=7, shift=-3))], "i long, origin long, centre long")
 
 
+_INVERSE = _NEAREST + ", back AS (SELECT c_custkey, s, sign(c) * sqrt(d2) AS across FROM n WHERE rn = 1), placed AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY seg.seg) AS k FROM back JOIN seg ON back.s < seg.s0 + seg.length OR seg.seg = (SELECT max(seg) FROM seg))"
+
+
+@query(_INVERSE + """
+SELECT c_custkey, round(x0 + (s - s0) * dx / length - across * dy / length, 4) + 0.0::DOUBLE AS x, round(y0 + (s - s0) * dy / length + across * dx / length, 4) + 0.0::DOUBLE AS y FROM placed WHERE k = 1""")
+def curvilinear_inverse(spark, sf_dir):
+    """Places from their distance along the trace and to its left."""
+    at = T.trace_distance(_points(spark, sf_dir), "x", "y", TRACE).select("c_custkey", "s", F.col("offset").alias("across"))
+    x, y = T.from_curvilinear(F.col("s"), F.col("across"), TRACE)
+    return rounded(at.select("c_custkey", x.alias("x"), y.alias("y")), "x", "y", digits=4)
+
+
 @query("SELECT p_partkey, round(CASE WHEN abs((40 + p_size % 51) - 90) < 0.01 THEN 0.0 ELSE p_retailprice / tan(radians((40 + p_size % 51)::DOUBLE)) END, 6)::DOUBLE AS shift FROM part")
 def dip_offset(spark, sf_dir):
     p = R.read(spark, sf_dir, "part")
@@ -141,6 +154,15 @@ tm AS (SELECT *, {T.FALSE_EASTING!r}::DOUBLE + {T.SCALE * T._RADIUS!r}::DOUBLE *
 _ORIGIN = T.to_tmerc(-68.0, 10.5, -68.0)
 
 
+@query("SELECT c_custkey, round(c_acctbal / 5000 - 68, 9) AS lon, round(c_nationkey / 25.0::DOUBLE + 10, 9) AS lat FROM customer")
+def projected_and_back(spark, sf_dir):
+    """Places to a UTM zone and back to lon/lat."""
+    c = R.read(spark, sf_dir, "customer").select("c_custkey", (F.col("c_acctbal") / 5000 - 68).alias("lon"), (F.col("c_nationkey") / 25.0 + 10).alias("lat"))
+    x, y = T.tmerc_columns(F.col("lon"), F.col("lat"), -69.0)
+    lon, lat = T.lonlat_columns(F.col("x"), F.col("y"), -69.0)
+    return rounded(c.select("c_custkey", x.alias("x"), y.alias("y")).select("c_custkey", lon.alias("lon"), lat.alias("lat")), "lon", "lat", digits=9)
+
+
 @query(f"""
 WITH places AS (SELECT c_custkey, c_acctbal / 5000 - 68 AS lon, c_nationkey / 25.0::DOUBLE + 10 AS lat FROM customer), {tmerc_sql('places', 'lon', 'lat', -68.0, 'c_custkey')}
 SELECT c_custkey, round(easting - {_ORIGIN[0]!r}::DOUBLE, 3) AS x, round(northing - {_ORIGIN[1]!r}::DOUBLE, 3) AS y FROM tm""")

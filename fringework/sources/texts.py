@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -41,37 +40,43 @@ def read_trace(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(parse_trace(text))], "seq int, lon double, lat double")
 
 
-@dataclass
-class VelocityModel:
-    """Layers by depth: vp, vs in m/s, density in kg/m3."""
+#: Columns of a crust's layers, and what follows from them.
+LAYER = ("depth", "vp", "vs", "rho")
+DERIVED = {"mu": "rho * vs * vs", "lam": "rho * (vp * vp - 2 * vs * vs)", "nu": "(vp * vp - 2 * vs * vs) / (2 * (vp * vp - vs * vs))"}
+
+
+def parse_layers(text: str) -> list[dict[str, float]]:
+    """Layers by depth (metres down, m/s, kg/m3), one a line; a number of the layer may stand in front.
 
-    depth: np.ndarray
-    vp: np.ndarray
-    vs: np.ndarray
-    rho: np.ndarray
+    Depths may be told as negative, must not decrease, and repeat where a property
+    jumps; speeds and densities are positive.
+    """
+    out = []
+    for row in _lines(text):
+        if len(row) not in (4, 5):
+            raise ValueError("a layer has a depth, two speeds and a density")
+        layer = dict(zip(LAYER, row[-4:], strict=True))
+        layer["depth"] = abs(layer["depth"])
+        if layer["vp"] <= 0 or layer["vs"] < 0 or layer["rho"] <= 0 or (out and layer["depth"] < out[-1]["depth"]):
+            raise ValueError(f"not a layer below the last: {row}")
+        out.append(layer)
+    if not out:
+        raise ValueError("a crust has a layer")
+    return out
 
-    @classmethod
-    def parse(cls, text: str) -> VelocityModel:
-        """Four columns, or five with a layer number in front."""
-        rows = np.array([r[-4:] for r in _lines(text)])
-        if rows.ndim != 2 or rows.shape[1] != 4:
-            raise ValueError("a layer has four numbers")
-        return cls(*rows.T)
 
-    def mu(self) -> np.ndarray:
-        return self.rho * self.vs**2
+def layer_table(spark: SparkSession, layers: list[dict[str, float]]) -> DataFrame:
+    """(layer, depth, vp, vs, rho, mu, lam, nu): the elastic constants are columns of the table."""
+    rows = spark.createDataFrame([(i, *(float(r[c]) for c in LAYER)) for i, r in enumerate(layers)], "layer int, depth double, vp double, vs double, rho double")
+    return rows.selectExpr("*", *(f"{e} AS {c}" for c, e in DERIVED.items()))
 
-    def lam(self) -> np.ndarray:
-        return self.rho * (self.vp**2 - 2 * self.vs**2)
 
-    def at(self, depth: np.ndarray, field: str = "mu") -> np.ndarray:
-        """Piecewise linear, held at both ends; a repeated depth is a step."""
-        values = getattr(self, field)
-        return np.interp(depth, self.depth, values() if callable(values) else values)
+def at_depth(depth: Column, layers: DataFrame, name: str) -> Column:
+    """A property of the layers at a depth of either sign; a crust has a few rows, which become literals."""
+    from fringework.operators.scenes import on_profile
 
-    def poisson(self, depth: float = 0.0) -> float:
-        lam, mu = float(self.at(depth, "lam")), float(self.at(depth, "mu"))
-        return lam / (2 * (lam + mu))
+    rows = layers.orderBy("layer").select("depth", name).collect()
+    return on_profile(F.abs(depth), [r[0] for r in rows], [r[1] for r in rows])
 
 
 def fortran_floats(line: str) -> list[float]:
@@ -108,8 +113,25 @@ def write_offsets(offsets: DataFrame, path: str, min_correlation: float = 0.0) -
     rows.select(F.format_string(" %d %6.3f %d %6.3f %6.2f ", "x_pixel", "x_offset", "y_pixel", "y_offset", "correlation").alias("value")).write.text(path)
 
 
-def edgrn_input(model: VelocityModel, depth: float = 0.0, nr: int = 201, r_max: float = 400e3, nz: int = 100, z_range: Sequence[float] = (500.0, 50e3), srate: float = 12.0, folder: str = "edgrnfcts/", names: Sequence[str] = ("edgrn.ss", "edgrn.ds", "edgrn.cl")) -> str:
-    """The input deck of a layered response run."""
-    head = [f"{depth:g}", f"{nr} 0.0 {r_max:g}", f"{nz} {z_range[0]:g} {z_range[1]:g}", f"{srate:g}", f"'{folder}' " + " ".join(f"'{n}'" for n in names), str(len(model.depth))]
-    layers = [f"{i} {d:g} {p:g} {s:g} {r:g}" for i, (d, p, s, r) in enumerate(zip(model.depth, model.vp, model.vs, model.rho, strict=True), 1)]
-    return "\n".join(head + layers) + "\n"
+@dataclass
+class ResponseRun:
+    """What a layered response is computed for: receivers at one depth, sources by distance and depth (metres)."""
+
+    receiver_depth: float = 0.0
+    distances: tuple[int, float, float] = (201, 0.0, 400e3)
+    depths: tuple[int, float, float] = (100, 500.0, 50e3)
+    sampling: float = 12.0
+    folder: str = "responses/"
+    files: tuple[str, str, str] = ("strike.txt", "dip.txt", "clvd.txt")
+
+
+#: The lines of the input deck before its layers, in order, and a layer's line.
+DECK = ("{receiver_depth:g}", "{distances[0]} {distances[1]:g} {distances[2]:g}", "{depths[0]} {depths[1]:g} {depths[2]:g}", "{sampling:g}", "'{folder}' '{files[0]}' '{files[1]}' '{files[2]}'", "{count}")
+DECK_LAYER = "{number} {depth:g} {vp:g} {vs:g} {rho:g}"
+
+
+def response_deck(layers: list[dict[str, float]], run: ResponseRun | None = None) -> str:
+    """The text that asks a response program for a crust's tables."""
+    told = vars(run or ResponseRun()) | {"count": len(layers)}
+    lines = [line.format(**told) for line in DECK] + [DECK_LAYER.format(number=i, **row) for i, row in enumerate(layers, 1)]
+    return "".join(f"{line}\n" for line in lines)

@@ -153,7 +153,7 @@ def test_surfaces_follow_their_dips_and_bottoms():
     straight = U.Surface.vertical(s, z)
     assert np.allclose(straight.nodes(trace)[: len(s), 2], 0) and straight.mesh(trace).triangles.shape == (64, 3)
     dipping = U.Surface.from_dips(s, z, [(0, length)], [60.0])
-    assert np.allclose(dipping.cross[-1], -4_000 / np.tan(np.radians(60)), rtol=0.02) and np.abs(dipping.cross[0]).max() < 5
+    assert np.allclose(dipping.cross[-1], 4_000 / np.tan(np.radians(60)), rtol=0.02) and np.abs(dipping.cross[0]).max() < 5
     bottom = trace + np.array([0.0, 900.0])
     with pytest.warns(RuntimeWarning):
         bent = U.Surface.from_bottom(trace, np.vstack([bottom, [12_000.0, 1_500.0]]), s, z)

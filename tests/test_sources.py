@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fringework.plans.stages import StageError, Workspace, hash_params
 from fringework.sources import granule, grids, texts
@@ -49,13 +50,26 @@ def test_text_sources(spark, tmp_path):
     assert texts.parse_trace("# c\n> s\n1, 2\n3 4\n").tolist() == [[1, 2], [3, 4]]
     with pytest.raises(ValueError):
         texts.parse_segments("1 2 3")
-    m = texts.VelocityModel.parse("# n d vp vs rho\n1 0 6000 3464.1016151377544 2700\n2 10 8000 4000 3000\n")
-    assert m.poisson() == pytest.approx(0.25) and m.at(5.0, "vp") == 7000
     assert texts.fortran_floats("1.0D-03 2.5-101 3") == [1e-3, 2.5e-101, 3.0]
     table = "3 0 20 2 0 10 0 1 1\n" + "\n".join(f"{100 * r + z} 0" for z in range(2) for r in range(3))
     head, values = texts.parse_response_table(table)
     assert texts.interpolated(head, values, np.array([5.0, 99.0]), np.array([5.0, -1.0]))[:, 0].tolist() == [50.5, 200.0]
-    assert "edgrnfcts" in texts.edgrn_input(m)
+
+
+def test_layers_and_their_deck(spark):
+    rows = texts.parse_layers("# n d vp vs rho\n1 0 6000 3464.1016151377544 2700\n2 -10 8000 4000 3000\n3 10 8000 4000 3300\n")
+    table = texts.layer_table(spark, rows)
+    first = table.orderBy("layer").first()
+    assert first.nu == pytest.approx(0.25) and first.mu == pytest.approx(2700 * 12e6) and first.lam == pytest.approx(first.mu)
+    depths = spark.createDataFrame([(0.0,), (-5.0,), (5.0,), (10.0,), (99.0,)], "d double")
+    got = [r[0] for r in depths.select(texts.at_depth(F.col("d"), table, "rho")).collect()]
+    assert got == [2700, 2850, 2850, 3300, 3300]
+    deck = texts.response_deck(rows, texts.ResponseRun(folder="out/")).splitlines()
+    assert deck[1] == "201 0 400000" and deck[4].startswith("'out/'") and deck[5] == "3" and deck[-1] == "3 10 8000 4000 3300"
+    for bad in ("", "0 6000 3000", "5 6000 3000 2700\n1 6000 3000 2700", "0 -1 3000 2700"):
+        with pytest.raises(ValueError):
+            texts.parse_layers(bad)
+
 
 
 def test_stages(spark, tmp_path):
