@@ -4,16 +4,25 @@ Alternating stars: every node sends its larger neighbours, then its smaller
 ones, to the least node it knows of. Each round is a grouped minimum and an
 equi-join over the edges, written to the shared folder, so lineage stays short
 and a lost executor costs one round. The number of rounds grows with the
-logarithm of the longest path.
+logarithm of the longest path. An edge table of up to ``LOCAL_EDGES`` rows is
+finished by one task, which saves the rounds; the result is the same.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fringework.functions.union import forest
 from fringework.storage import dropped, written
 
+#: Edges that one task may finish: 16 bytes each, so a few megabytes.
+LOCAL_EDGES = 200_000
+
 
 def _stars(edges: DataFrame) -> DataFrame:
     """One round on edges (a, b) with a > b: large star, then small star."""
@@ -33,13 +42,25 @@ def _state(edges: DataFrame) -> tuple:
     return row["n"], row["s"]
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, component) of all edges of the partition, the least nodes of components too."""
+    parts = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
+    if parts:
+        a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
+        node, least = forest(a, b)
+        roots = np.unique(least)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([node, roots])), pa.array(np.concatenate([least, roots]))], names=["node", "component"])
+
+
+def components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(node, component) for every node of the edges (a, b); the component is its least node.
 
     Loops and repeated edges are ignored; nodes of equal value are one node.
     """
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = _state(now)
+    if state[0] <= local_edges and now.schema["a"].dataType.simpleString() == "bigint":
+        return now.coalesce(1).mapInArrow(_finished, "node long, component long")
     while state[0]:
         after = _stars(now)
         dropped(edges.sparkSession, now)
