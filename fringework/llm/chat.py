@@ -19,8 +19,10 @@ as rewriting. Only the turns of the window are held then.
 
 Cases: null texts and roles count as empty; a null turn number comes first; ties
 in the turn number are ordered by role and text, and repeated rows are turns of
-their own; rows with a null conversation id are one conversation. Extra columns
-are ignored. Empty tables give no rows.
+their own; rows with a null conversation id are one conversation. A conversation
+is rendered by one task, turn by turn, whatever its length; very long texts are
+rendered whole. Conversation ids are whole numbers. Extra columns are ignored,
+whatever their names. Empty tables give no rows.
 """
 
 from __future__ import annotations

@@ -3,23 +3,18 @@
 from __future__ import annotations
 
 import ctypes
-import uuid
 from collections.abc import Iterable
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fringework.storage import dropped, shared_dir, written
+from fringework.functions.union import forest
+from fringework.storage import dropped, fresh_path, shared_dir, written
 
 __all__ = ["dropped", "forest", "free_names", "fresh_path", "given_back", "shared_dir", "shuffle_width", "table", "text_or_empty", "written"]
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/fringework/{name}-{uuid.uuid4().hex}"
-
-
 def free_names(taken: Iterable[str], *wanted: str) -> list[str]:
     """A name for each of ``wanted`` that none of ``taken`` has, whatever its case."""
     have, out = {t.lower() for t in taken}, []
@@ -44,26 +39,6 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (node, least node it reaches) with the same components as the edges (a, b)."""
-    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = ends[: len(a)], ends[len(a) :]
-    label = np.arange(len(nodes))
-    while True:
-        least = np.minimum(label[x], label[y])
-        new = label.copy()
-        np.minimum.at(new, x, least)
-        np.minimum.at(new, y, least)
-        np.minimum.at(new, label[x], least)
-        np.minimum.at(new, label[y], least)
-        new = new[new]
-        if np.array_equal(new, label):
-            break
-        label = new
-    moved = label != np.arange(len(nodes))
-    return nodes[moved], nodes[label[moved]]
-
-
 def given_back() -> None:
     """Gives the memory that a finished task has freed back to the system, so that a worker that lives on is no larger than its next task."""
     pa.default_memory_pool().release_unused()

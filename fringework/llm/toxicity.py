@@ -13,8 +13,10 @@ Scoring reads every whole text.
 
 Cases: null and empty texts have no savings and get the score of that; labels
 that are null are ignored, as are labels without a document. Without labelled
-rows of both classes every score is 0. Repeated rows are scored each. Extra
-columns are ignored (``kept`` carries them along). Empty tables give no rows.
+rows of both classes every score is 0. Repeated rows are scored each, a null key
+too. Of two labels for one key the higher counts. Very long texts are scored by
+all their windows. Extra columns are ignored (``kept`` carries them along),
+whatever their names. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fringework.llm.shared import table, text_or_empty
+from fringework.llm.shared import free_names, given_back, table, text_or_empty
 
 TOXIC_ROWS, ORDINARY_ROWS, SAMPLE_CHARS = 1_500, 3_000, 20_000
 #: Share of the sample that trains dictionaries; the rest calibrates.
@@ -213,16 +215,18 @@ def training_sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", tex
 
 def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", *more: str) -> DataFrame:
     """key, any columns in ``more``, score: a row per row of ``docs``."""
-    inputs = docs.select(F.col(key), *more, text_or_empty(text).alias("_text"))
-    outputs = inputs.drop("_text").withColumn("_score", F.lit(0.0))
+    held, made = free_names([key, *more], "text", "score")
+    inputs = docs.select(F.col(key), *more, text_or_empty(text).alias(held))
+    outputs = inputs.drop(held).withColumn(made, F.lit(0.0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model.scorer()
         for batch in batches:
             values = pa.array([score(t.as_py()) for t in batch.column(batch.num_columns - 1)], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], values], names=[*batch.schema.names[:-1], "_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], values], names=[*batch.schema.names[:-1], made])
+        given_back()
 
-    return inputs.mapInArrow(run, outputs.schema).withColumnRenamed("_score", "score")
+    return inputs.mapInArrow(run, outputs.schema)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,10 @@ only those run their expression. Only DataFrame functions are used.
 
 Cases: a null URL, or one without ``://``, has empty host and path and no
 tokens, so it gets the default verdict. Rows that repeat are judged alike; every
-input row keeps its own output row. Columns of the input other than the key and
-the URL are ignored, whatever they are called.
+input row keeps its own output row, one with a null key too. Very long URLs are
+judged whole. Of patterns that match, the first listed decides; of rules that fit,
+the longest. Columns of the input other than the key and the URL are ignored,
+whatever they are called.
 """
 
 from __future__ import annotations

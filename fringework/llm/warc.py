@@ -15,8 +15,12 @@ and needs nothing but the file.
 Cases: a null payload counts as empty, a null target as an empty one; a null id
 is written as ``null`` and read back as null, and is never what others refer to;
 rows that repeat are records of their own, and all that bear the smallest id of
-their payload are responses. Extra columns are ignored. An empty table
-makes no archive and no rows.
+their payload are responses. Ids are whole numbers. A very long payload is a
+record, and at times an archive, of its own. Archives of fewer than
+``LEAST_RECORDS`` records have no dictionary frame: a dictionary that is larger
+than what it would save is not written, and the records read back all the same.
+Extra columns are ignored, whatever their names. An empty table makes no archive
+and no rows.
 """
 
 from __future__ import annotations

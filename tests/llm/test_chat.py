@@ -79,3 +79,12 @@ def test_long_conversations_are_rendered_in_true_context(spark):
     assert [r.piece[r.low : r.high] for r in got if r.low >= 0] == [t for r, t in turns if r == "assistant"]
     got = sorted(C.formatted(rows, keeps_the_last_40).collect(), key=lambda r: r.seq)
     assert [r.rewrites for r in got] == [i >= 40 for i in range(60)]
+
+
+def test_four_hundred_turns_of_both_templates():
+    turns = [("assistant" if i % 2 else "user", f"text {i}") for i in range(400)]
+    state = C.Incremental(numbered)
+    got = [state.turn(*m) for m in turns]
+    assert state.opening + "".join(t.piece for t in got) == numbered(turns) and not any(t.rewrites for t in got)
+    state = C.Incremental(keeps_the_last_40)
+    assert [state.turn(*m).rewrites for m in turns] == [i >= 40 for i in range(400)]

@@ -57,3 +57,43 @@ def test_windows_cover_the_whole_text():
     data = bytes(range(256)) * 9
     got = X.windows(data)
     assert b"".join(w[: X.STRIDE] for w in got[:-1]) + got[-1] == data and X.windows(b"") == [b""]
+
+
+def test_scores_against_a_plain_version(spark, tmp_path):
+    """Window by window, with compressors and calibration written out."""
+    import math
+
+    import zstandard
+
+    rows = corpus(300, seed=7)
+    sf = write(spark, tmp_path, [(i, t, "") for i, t, _ in rows] + [(2000, "", ""), (2001, "x" * 5_000, "")], [(i, 1, y) for i, _, y in rows])
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    m = X.fitted(*X.training_sample(docs, labels))
+
+    def length(data, dictionary):
+        p = zstandard.ZstdCompressionParameters.from_level(3, source_size=256, dict_size=len(dictionary), min_match=5, hash_log=17, window_log=17, strategy=zstandard.STRATEGY_FAST, target_length=1, write_content_size=False, write_checksum=False, write_dict_id=False)
+        kind = zstandard.DICT_TYPE_FULLDICT if dictionary[:4] == b"\x37\xa4\x30\xec" else zstandard.DICT_TYPE_RAWCONTENT
+        return len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(dictionary, dict_type=kind), compression_params=p).compress(data))
+
+    for r in X.op8_toxicity(spark, sf).collect():
+        data = dict([(i, t) for i, t, _ in rows] + [(2000, ""), (2001, "x" * 5_000)])[r.doc_id].lower().encode()
+        saved, at = [], 0
+        while True:
+            window = data[at : at + 256]
+            saved.append(length(window, m.ordinary) - length(window, m.ordinary + m.toxic))
+            at += 240
+            if at >= len(data) - 16:
+                break
+        n, over = len(saved), [max(0, s - 2) for s in saved]
+        x = [min(max(saved), 12), min(sum(saved) / n, 6), math.log1p(max(0, sum(saved))), math.log1p(sum(over)), sum(s >= 4 for s in saved) / n, math.log1p(sum(s >= 6 for s in saved)), math.log(n), sum(s >= 1 for s in saved) / n]
+        z = m.weights[0] + sum(w * (v - a) / b for w, v, a, b in zip(m.weights[1:], x, m.means, m.scales, strict=True)) + m.shift
+        assert abs(r.score - 1 / (1 + math.exp(-z))) < 1e-9
+
+
+def test_clashing_names(spark, tmp_path):
+    rows = corpus(120, seed=2)
+    docs = spark.createDataFrame([(i, t, 1, 2) for i, t, _ in rows], "doc_id long, text string, score int, _text int")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = X.fitted(*X.training_sample(docs, labels))
+    got = X.scored(docs, model, "doc_id", "text", "score", "_text")
+    assert got.columns == ["doc_id", "score", "_text", "_score"] and got.where("score = 1 AND _text = 2 AND _score BETWEEN 0 AND 1").count() == 120

@@ -71,3 +71,9 @@ def test_capitals_lose_no_rule(spark, tmp_path):
     for literal in (1_000, 0):
         got = U.judged(df, literal_rules=literal).select("page_id", "verdict", "rule", "pattern").collect()
         assert sorted(map(tuple, got)) == want
+
+
+def test_null_keys_and_very_long_urls(spark):
+    rows = [(None, "http://a.net/x"), (None, None), (1, "http://b.com/" + "a/" * 200_000 + "casino"), (2, "http://" + "c." * 50_000 + "net/")]
+    got = sorted(((r.page_id, r.verdict) for r in U.judged(spark.createDataFrame(rows, "page_id long, url string")).collect()), key=repr)
+    assert got == sorted([(None, "block"), (None, "allow"), (1, "block"), (2, "block")], key=repr)
