@@ -44,6 +44,22 @@ def erode(pixels: DataFrame, value: str, steps: int, keys: Sequence[str] = ()) -
     return marked.withColumn(value, F.when(keep, F.col(value))).drop("_d")
 
 
+def trim_edges(pixels: DataFrame, values: Sequence[str], edge: int, edges: str = "along_track", keys: Sequence[str] = (), inside: Column | None = None) -> DataFrame:
+    """Several layers of a stage, trimmed by their common footprint: what one of them lacks none keeps.
+
+    ``edges``: ``along_track`` cuts the ends of rows, ``all`` erodes from every
+    side. ``inside`` (a product's own mask) is applied first.
+    """
+    if edges not in ("along_track", "all"):
+        raise ValueError(f"unknown edges {edges!r}")
+    valid = F.lit(True) if inside is None else F.coalesce(inside, F.lit(False))
+    for v in values:
+        valid = valid & F.col(v).isNotNull()
+    marked = pixels.withColumn("_both", F.when(valid, F.lit(1)))
+    marked = (trim_along_track if edges == "along_track" else erode)(marked, "_both", edge, keys)
+    return marked.withColumns({v: F.when(F.col("_both").isNotNull(), F.col(v)) for v in values}).drop("_both")
+
+
 def subswath_valid(mask: Column) -> Column:
     """Both acquisitions have a subswath number (tens and units) and the pixel is inside."""
     return (mask != 255) & (F.floor(mask / 10) % 10 > 0) & (mask % 10 > 0)

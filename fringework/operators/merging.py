@@ -83,14 +83,38 @@ def exact_medians(rows: DataFrame, value: str, keys: Sequence[str] = ()) -> Data
     return ranked.groupBy(*keys).agg(((F.max(F.when(is_low, F.col("_v"))) + F.max(F.when(is_high, F.col("_v")))) / 2).alias("median"))
 
 
-def merged_unwrapped(first: DataFrame, second: DataFrame, tie: str = "cycles", keys: Sequence[str] = ("pair", "yi", "xi")) -> DataFrame:
+def relabelled(stack: DataFrame, own: DataFrame, refs: DataFrame, tolerance: int | None, pair: str = "pair") -> DataFrame:
+    """``stack`` with the pair numbers of ``refs``: of the pair nearest in time, within ``tolerance`` seconds, one to one.
+
+    ``own`` and ``refs`` are (pair, ref_time, sec_time). Without a tolerance pairs
+    go by their position. A pair that finds no partner, or not one of its own, is an error.
+    """
+    if tolerance is None:
+        numbered = lambda df, name: df.select(F.col("pair").alias(name), F.row_number().over(Window.orderBy("pair")).alias("_n"))
+        match = numbered(refs, "pair").join(numbered(own, "other"), "_n").select("pair", "other")
+    else:
+        match = nearest_pairs(own, refs, tolerance).select("pair", "other")
+    match = written(match, "pair-match")
+    got = match.agg(F.count("*").alias("n"), F.countDistinct("other").alias("m")).first()
+    if not got["n"] == got["m"] == refs.count() == own.count():
+        raise ValueError("the pairs do not match one to one")
+    names = [F.col("_pair").alias(pair) if c == pair else F.col(c) for c in stack.columns]
+    return stack.join(F.broadcast(match.select(F.col("other").alias(pair), F.col("pair").alias("_pair"))), pair).select(*names)
+
+
+def merged_unwrapped(first: DataFrame, second: DataFrame, tie: str = "auto", keys: Sequence[str] = ("pair", "yi", "xi"), same_acquisitions: bool = True) -> DataFrame:
     """Two unwrapped frames on one lattice (keys, unw, conncomp, coherence).
 
     The second is tied to the first by the exact median of their difference over
     common valid pixels, per pair: to whole cycles, as it is (``offset``), or not
-    (``none``); without overlap it stays. Its labels move behind all of the
+    (``none``); without overlap it stays. ``auto`` takes whole cycles where both
+    frames are of the same acquisitions, which can differ by nothing else. Its labels move behind all of the
     first's. Every layer follows the first's phase footprint.
     """
+    if tie not in ("auto", "cycles", "offset", "none"):
+        raise ValueError(f"unknown tie {tie!r}")
+    if tie == "auto":
+        tie = "cycles" if same_acquisitions else "offset"
     pair = keys[0]
     other = second.select(*keys, F.col("unw").alias("_unw"), F.col("conncomp").alias("_cc"), F.col("coherence").alias("_coh"))
     top = first.agg(F.coalesce(F.max("conncomp"), F.lit(0)).alias("m")).first()["m"]

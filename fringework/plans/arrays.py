@@ -75,7 +75,27 @@ def gaussian_multilook(spark, sf_dir):
     return rounded(L.gaussian_multilook(R.scene(spark, sf_dir), "v", 3, *_size(spark, sf_dir, "events", "event_id", SCENE_WIDTH), tile=64), "v")
 
 
-@query("")
+def _outliers_sql(sigma: float, threshold: float, rounds: int) -> str:
+    w = [float(x) for x in K.gaussian_weights(sigma)]
+    r = len(w) // 2
+
+    def line(column: str, part: str, order: str) -> str:
+        at = lambda k: f"lag({column}, {k}) OVER w" if k > 0 else f"lead({column}, {-k}) OVER w" if k < 0 else column
+        return " + ".join(f"{w[k + r]!r}::DOUBLE * coalesce({at(k)}, 0)" for k in range(-r, r + 1))
+
+    steps, last = [], "scene"
+    for k in range(rounds):
+        steps += [
+            f"a{k} AS (SELECT yi, xi, v, coalesce(v, 0)::DOUBLE AS f, (v IS NOT NULL)::INTEGER::DOUBLE AS w FROM {last})",
+            f"b{k} AS (SELECT yi, xi, v, {line('f', 'yi', 'xi')} AS f, {line('w', 'yi', 'xi')} AS w FROM a{k} WINDOW w AS (PARTITION BY yi ORDER BY xi))",
+            f"c{k} AS (SELECT yi, xi, v, {line('f', 'xi', 'yi')} AS f, {line('w', 'xi', 'yi')} AS w FROM b{k} WINDOW w AS (PARTITION BY xi ORDER BY yi))",
+            f"d{k} AS (SELECT yi, xi, CASE WHEN abs(v - f / w) <= {threshold} THEN v END AS v FROM c{k})",
+        ]
+        last = f"d{k}"
+    return f"WITH {SCENE_SQL}, {', '.join(steps)} SELECT yi, xi, v::DOUBLE AS v FROM {last}"
+
+
+@query(_outliers_sql(2.0, 450.0, 2))
 def outliers(spark, sf_dir):
     return L.outliers_removed(R.scene(spark, sf_dir), "v", 2.0, 450.0, 2, *_size(spark, sf_dir, "events", "event_id", SCENE_WIDTH), tile=64)
 

@@ -7,6 +7,7 @@ from math import pi
 from pyspark.sql import functions as F
 
 from fringework.operators import merging as G
+from fringework.operators import sampling as A
 from fringework.operators import statistics as S
 from fringework.plans import rasters as R
 from fringework.plans.pixels import _size, rounded
@@ -92,6 +93,16 @@ def unw_merge_cycles(spark, sf_dir):
     return rounded(G.merged_unwrapped(*_frames(spark, sf_dir), "cycles"), "unw")
 
 
+@query(_merge_sql(f"round_even(m / {2 * pi!r}, 0) * {2 * pi!r}"))
+def unw_merge_by_time(spark, sf_dir):
+    """As by cycles, but the second frame numbers its pairs otherwise, and its times are some seconds off."""
+    first, second = _frames(spark, sf_dir)
+    times = lambda rows: spark.createDataFrame(rows, "pair long, r long, s long").selectExpr("pair", "timestamp_seconds(r) AS ref_time", "timestamp_seconds(s) AS sec_time")
+    refs, own = times([(0, 0, 1_000_000), (1, 2_000_000, 3_000_000)]), times([(0, 2_000_007, 2_999_996), (1, 11, 1_000_003)])
+    swapped = second.withColumn("pair", F.lit(1) - F.col("pair"))
+    return rounded(G.merged_unwrapped(first, G.relabelled(swapped, own, refs, 30)), "unw")
+
+
 @query(_merge_sql("m"))
 def unw_merge_offset(spark, sf_dir):
     return rounded(G.merged_unwrapped(*_frames(spark, sf_dir), "offset"), "unw")
@@ -226,7 +237,7 @@ _LEVELS = 12
 _QUAD = {"rms_min": 285.0, "min_rows": 2, "min_cols": 2, "max_rows": 40, "max_cols": 30}
 
 
-def _quad_sql() -> str:
+def _quad_sql(_QUAD: dict = _QUAD) -> str:
     steps = ["q0 AS (SELECT yi, xi, v::DOUBLE AS v, 0 AS r0, (SELECT max(yi) + 1 FROM scene) AS r1, 0 AS c0, %d AS c1, false AS done FROM scene)" % SCENE_WIDTH]
     for k in range(_LEVELS):
         steps.append(f"""s{k} AS (SELECT *, count(v) OVER w AS n, sum(v) OVER w AS s, sum(v * v) OVER w AS ss FROM q{k} WINDOW w AS (PARTITION BY r0, r1, c0, c1))""")
@@ -256,6 +267,20 @@ def quadtree_samples(spark, sf_dir):
     return rounded(S.reduced_cells(s, cells, "v", "median", 10.0, -10.0).drop("std", "n", "r1", "c1"), "los", "x", "y")
 
 
+_CELLS = {"rms_min": 285.0, "min_rows": 2, "min_cols": 3, "max_rows": 30, "max_cols": 40}
+
+
+@query(f"""{_quad_sql(_CELLS)}
+SELECT round(avg(v), 6) AS los, round(sqrt(greatest(sum(v * v) / count(v) - (sum(v) / count(v)) * (sum(v) / count(v)), 0.0)), 6) AS std, round(avg(CASE WHEN v IS NOT NULL THEN xi END) * 15.0 + 100, 6) AS x,
+       round(avg(CASE WHEN v IS NOT NULL THEN yi END) * -20.0 + 5, 6) AS y, round(avg(CASE WHEN v IS NOT NULL THEN -0.6 - 0.001 * xi END), 6)::DOUBLE AS look_e, ((r1 - r0) * 20 + (c1 - c0) * 15) / 2.0::DOUBLE AS cell_size, count(v) AS n, 'scene' AS track
+FROM q{_LEVELS} GROUP BY r0, r1, c0, c1 HAVING count(v) > 0 AND count(v) >= 0.5 * (r1 - r0) * (c1 - c0)""")
+def observations(spark, sf_dir):
+    ny, nx = _size(spark, sf_dir, "events", "event_id", SCENE_WIDTH)
+    s = R.scene(spark, sf_dir).select("yi", "xi", F.col("v").cast("double").alias("los"), (F.lit(-0.6) - 0.001 * F.col("xi")).alias("los_east"), F.lit(0.1).alias("los_north"), F.lit(0.75).alias("los_up"))
+    out = A.observations(s, A.Grid(ny, nx, 100.0, 15.0, 5.0, -20.0), "scene", rms_min=285.0, width_min=41.0, width_max=600.0)
+    return rounded(out.select("los", "std", "x", "y", "look_e", "cell_size", "n", "track"), "los", "std", "x", "y", "look_e")
+
+
 @query("""
 WITH u AS (SELECT 'c' AS track, c_custkey AS obs, c_acctbal AS los, 1.0::DOUBLE AS w FROM customer UNION ALL SELECT 's', s_suppkey, s_acctbal, 2.0 FROM supplier)
 SELECT track, obs, los, round(w / sqrt(count(*) OVER (PARTITION BY track)::DOUBLE), 9) AS weight FROM u""")

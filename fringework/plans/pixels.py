@@ -117,6 +117,16 @@ def along_track_trim(spark, sf_dir):
     return M.trim_along_track(R.scene(spark, sf_dir), "v", 8)
 
 
+@query(f"""
+WITH {SLC_SQL}, ok AS (SELECT *, re IS NOT NULL AND im IS NOT NULL AND re > -1.5 AS both_ FROM slc), w AS (
+  SELECT *, min(CASE WHEN both_ THEN xi END) OVER (PARTITION BY t, yi) AS f, max(CASE WHEN both_ THEN xi END) OVER (PARTITION BY t, yi) AS l FROM ok
+)
+SELECT t, yi, xi, round(CASE WHEN both_ AND xi >= f + 6 AND xi <= l - 6 THEN re END, 6) + 0.0::DOUBLE AS re, round(CASE WHEN both_ AND xi >= f + 6 AND xi <= l - 6 THEN im END, 6) + 0.0::DOUBLE AS im FROM w""")
+def joint_trim(spark, sf_dir):
+    """Both layers of a stack by their common footprint, inside a mask."""
+    return rounded(M.trim_edges(R.slc(spark, sf_dir), ["re", "im"], 6, keys=["t"], inside=F.col("re") > -1.5), "re", "im")
+
+
 def _eroded_sql(n: int) -> str:
     return f"""
 WITH {SCENE_SQL}, ok AS (SELECT yi, xi FROM scene WHERE v IS NOT NULL),

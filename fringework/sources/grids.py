@@ -8,6 +8,8 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from fringework.sources.hdf5 import SIGNATURE, grid_of
+
 #: Fixed values of the format: type numbers to numpy types, and tags of the header's lists.
 _TYPES = {1: ">i1", 2: "S1", 3: ">i2", 4: ">i4", 5: ">f4", 6: ">f8"}
 _DIMENSION, _VARIABLE, _ATTRIBUTE = 10, 11, 12
@@ -99,14 +101,25 @@ def looks_geographic(x: np.ndarray, y: np.ndarray) -> bool:
 
 
 def read_grids(spark: SparkSession, paths: str) -> DataFrame:
-    """(path, yi, xi, y, x, z): every grid under the path pattern, one file a task, read by Spark's own file source."""
+    """(path, yi, xi, y, x, z): every grid under the path pattern, classic or HDF5, one file a task, read by Spark's own file source."""
     files = spark.read.format("binaryFile").load(paths).select("path", "content")
 
-    def run(frames: Iterator) -> Iterator:
+    def rows_of(path: str, z: np.ndarray, y: np.ndarray, x: np.ndarray) -> Iterator:
         import pandas as pd
 
+        step = max(1, 200_000 // max(1, len(x)))
+        for at in range(0, len(y), step):
+            part = z[at : at + step]
+            yi, xi = np.indices(part.shape)
+            yield pd.DataFrame({"path": path, "yi": yi.ravel() + at, "xi": xi.ravel(), "y": y[yi.ravel() + at], "x": x[xi.ravel()], "z": part.ravel()})
+
+    def run(frames: Iterator) -> Iterator:
         for frame in frames:
             for path, content in zip(frame["path"], frame["content"], strict=True):
+                if bytes(content[:8]) == SIGNATURE:
+                    z, y, x = grid_of(path, bytes(content))
+                    yield from rows_of(path, z, y, x)
+                    continue
                 found = parse(bytes(content))
                 name = "z" if "z" in found else next(n for n, (over, *_) in found.items() if len([d for d in over if d]) >= 2)
                 over, values, _ = found[name]
@@ -114,10 +127,7 @@ def read_grids(spark: SparkSession, paths: str) -> DataFrame:
                 if z.ndim != 2:
                     raise ValueError(f"{path}: {name} is no grid")
                 y, x = (np.asarray(found[d][1], float) if d in found else np.arange(n, dtype=float) for d, n in zip([d for d, n in zip(over, values.shape, strict=True) if n > 1], z.shape, strict=True))
-                for at in range(0, len(y), max(1, 200_000 // max(1, len(x)))):
-                    part = z[at : at + max(1, 200_000 // max(1, len(x)))]
-                    yi, xi = np.indices(part.shape)
-                    yield pd.DataFrame({"path": path, "yi": yi.ravel() + at, "xi": xi.ravel(), "y": y[yi.ravel() + at], "x": x[xi.ravel()], "z": part.ravel()})
+                yield from rows_of(path, z, y, x)
 
     return files.mapInPandas(run, "path string, yi long, xi long, y double, x double, z double")
 

@@ -149,11 +149,13 @@ class Group:
 @dataclass
 class File:
     path: str
+    content: bytes | None = None
     _kept: dict = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        files, base = _opened(self.path)
-        self.handle = files.open_input_file(base)
+        if self.content is None:
+            files, base = _opened(self.path)
+            self.handle = files.open_input_file(base)
         head = self.read(0, 96)
         if head[:8] != SIGNATURE:
             raise Unsupported(f"{self.path} is no HDF5 file")
@@ -177,7 +179,10 @@ class File:
         return address == (1 << 8 * self.offset) - 1
 
     def read(self, at: int, size: int) -> bytes:
-        return self.handle.read_at(size, at + getattr(self, "base", 0))
+        if self.content is None:
+            return self.handle.read_at(size, at + getattr(self, "base", 0))
+        at += getattr(self, "base", 0)
+        return self.content[at : at + size]
 
     def _messages(self, address: int) -> Iterator[tuple[int, bytes]]:
         head = self.read(address, 16)
@@ -416,6 +421,18 @@ class File:
                     yield Chunk(tuple(self._int(key, 8 + 8 * k, 8) for k in range(extra - 1)), child, self._int(key, 0, 4), self._int(key, 4, 4))
 
 
+def grid_of(path: str, content: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(z, y, x) of a grid file: its ``z`` or first dataset of two axes, and those by the usual names or by index."""
+    root = File(path, content).root
+    held = {n: root[n] for n in root.links if isinstance(root[n], Dataset)}
+    flat = [n for n, d in held.items() if len([k for k in d.shape if k > 1]) == 2]
+    if not flat:
+        raise Unsupported(f"{path} has no grid")
+    z = held["z" if "z" in flat else flat[0]].read().astype(float).squeeze()
+    axes = [next((held[n].read().astype(float) for n in names if n in held and held[n].shape == (size,)), np.arange(size, dtype=float)) for names, size in zip((("y", "lat", "latitude"), ("x", "lon", "longitude")), z.shape, strict=True)]
+    return z, *axes
+
+
 # Granules: fixed values of the product's layout.
 GRID = "science/LSAR/{product}/grids/frequency{frequency}"
 IDENTIFICATION = "science/LSAR/identification"

@@ -189,3 +189,13 @@ def test_an_unwrapped_product(spark, tmp_path):
 
     s = unwrapped_product([(0, df)]).toPandas()
     assert set(s["conncomp"]) == {0, 1}
+
+
+def test_grids_in_this_format(spark, tmp_path):
+    from fringework.sources import grids
+
+    c = Composer()
+    z = np.arange(12, dtype=np.float32).reshape(3, 4)
+    c.save(tmp_path / "a.grd", c.group({"z": c.dataset(z, (2, 2), ("shuffle", "gzip")), "lon": c.dataset(np.array([10.0, 11, 12, 13])), "lat": c.dataset(np.array([3.0, 2, 1]))}))
+    p = grids.read_grids(spark, f"{tmp_path}/*.grd").toPandas().sort_values(["yi", "xi"])
+    assert list(p["z"]) == list(range(12)) and list(p["y"][:5]) == [3, 3, 3, 3, 2] and list(p["x"][:4]) == [10, 11, 12, 13]
