@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from functools import lru_cache
 
 import numpy as np
 
@@ -63,17 +64,20 @@ def goldstein(z: np.ndarray, alpha: float | None = 0.5, patch: int = 32, overlap
     clean = np.where(np.isfinite(z), z, 0).astype(complex)
     total, weight = np.zeros((ny, nx), complex), np.zeros((ny, nx))
     reach = range(-(smooth // 2), smooth - smooth // 2)
-    for y in starts[0]:
-        for x in starts[1]:
-            at = np.s_[y : y + ps, x : x + ps]
-            spectrum = np.fft.fft2(window * clean[at])
-            a = np.abs(spectrum)
-            box = sum(np.roll(a, (dy, dx), (0, 1)) for dy in reach for dx in reach) / smooth**2
-            power = alpha
-            if coherence is not None:
-                power = 1 - (window * np.nan_to_num(coherence[at])).sum() / window.sum()
-            total[at] += window * np.fft.ifft2(spectrum * (box / (box.max() + 1e-20)) ** power)
-            weight[at] += window**2
+    for y in starts[0]:  # a row of patches at a time
+        every = np.stack([clean[y : y + ps, x : x + ps] for x in starts[1]])
+        spectrum = np.fft.fft2(window * every)
+        a = np.abs(spectrum)
+        box = sum(np.roll(a, d, 1) for d in reach)
+        box = sum(np.roll(box, d, 2) for d in reach) / smooth**2
+        power = alpha
+        if coherence is not None:
+            held = np.stack([np.nan_to_num(coherence[y : y + ps, x : x + ps]) for x in starts[1]])
+            power = (1 - (window * held).sum(axis=(1, 2)) / window.sum())[:, None, None]
+        filtered = window * np.fft.ifft2(spectrum * (box / (box.max(axis=(1, 2), keepdims=True) + 1e-20)) ** power)
+        for x, patch_ in zip(starts[1], filtered, strict=True):
+            total[y : y + ps, x : x + ps] += patch_
+            weight[y : y + ps, x : x + ps] += window**2
     out = total / weight
     return np.where(np.isfinite(z), out, np.nan)
 
@@ -94,7 +98,7 @@ def pixel_offset(ref: np.ndarray, sec: np.ndarray, size: int, search: int, upsam
     a, b = np.where(oka, a - a[oka].mean(), 0), np.where(okb, b - b[okb].mean(), 0)
     mask = np.zeros_like(a)
     mask[search : search + size, search : search + size] = 1
-    c = np.abs(np.fft.fftshift(np.fft.ifft2(np.fft.fft2(b) * np.conj(np.fft.fft2(a * mask)))))
+    c = np.abs(np.fft.fftshift(np.fft.irfft2(np.fft.rfft2(b) * np.conj(np.fft.rfft2(a * mask)), b.shape)))
     mid = n // 2
     c = c[mid - search : mid + search + 1, mid - search : mid + search + 1]
     py, px = np.unravel_index(int(np.argmax(c)), c.shape)
@@ -107,14 +111,16 @@ def pixel_offset(ref: np.ndarray, sec: np.ndarray, size: int, search: int, upsam
     return py - search + fy / upsample - h, px - search + fx / upsample - h, strength
 
 
+@lru_cache(maxsize=16)
+def _waves(n: int, factor: int) -> np.ndarray:
+    """(n * factor, n): what each frequency, from -n // 2 on, is at every fine place."""
+    return np.exp(2j * np.pi / (n * factor) * np.outer(np.arange(n * factor), np.arange(n) - n // 2)) / n
+
+
 def upsampled(a: np.ndarray, factor: int) -> np.ndarray:
-    """Band-limited interpolation by a whole factor."""
-    n, m = a.shape
+    """Band-limited interpolation by a whole factor: the few waves of a small array, summed at the fine places."""
     spectrum = np.fft.fftshift(np.fft.fft2(a))
-    big = np.zeros((n * factor, m * factor), complex)
-    y, x = (n * factor) // 2 - n // 2, (m * factor) // 2 - m // 2
-    big[y : y + n, x : x + m] = spectrum
-    return np.real(np.fft.ifft2(np.fft.ifftshift(big))) * factor**2
+    return np.real(_waves(a.shape[0], factor) @ spectrum @ _waves(a.shape[1], factor).T)
 
 
 def wrap(phase: np.ndarray) -> np.ndarray:

@@ -6,7 +6,7 @@ import importlib
 from collections.abc import Callable
 
 #: Modules of this package that register queries; each has QUERIES and ORACLE_SQL.
-MODULES: tuple[str, ...] = ("pixels", "combining", "shapes", "arrays", "scalars", "products")
+MODULES: tuple[str, ...] = ("pixels", "combining", "shapes", "arrays", "scalars", "products", "files")
 
 
 def queries() -> dict[str, Callable]:

@@ -95,6 +95,5 @@ def test_lattices():
     assert T.union_lattice((0.0, 10.0, 20.0), (-15.0, 41.0)) == [-20.0, -10.0, 0.0, 10.0, 20.0, 30.0, 40.0, 50.0]
     with pytest.raises(ValueError):
         T.lattice_offset(0.0, 5.0, 10.0)
-    with pytest.raises(ValueError):
-        T.offset_locations(10, 20, count=2)
+    assert T.offset_locations(10, 20, count=2) == [] and T.offset_locations(10, 4, count=30) == []
     assert np.allclose(np.diff(T.depth_levels(0, 10, 5)), 2.0)
