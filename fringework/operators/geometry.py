@@ -213,6 +213,18 @@ def measured(elements: DataFrame, nodes: DataFrame) -> DataFrame:
     return out.select("element_id", "area", "cx", "cy", "cz", "nx", "ny", "nz", F.degrees(F.acos(F.least(F.lit(1.0), F.col("nz")))).alias("dip"), dip_direction.alias("dip_direction"), azimuth(dip_direction - 90).alias("strike"))
 
 
+def node_neighbours(elements: DataFrame) -> DataFrame:
+    """(node_id, neighbour): the ring of nodes around each node."""
+    e = edges_of(elements).select("a", "b")
+    return e.select(F.col("a").alias("node_id"), F.col("b").alias("neighbour")).unionByName(e.select(F.col("b").alias("node_id"), F.col("a").alias("neighbour"))).distinct()
+
+
+def nodal_means(elements: DataFrame, values: DataFrame, names: Sequence[str], area: str = "area") -> DataFrame:
+    """(node_id, names): the area-weighted mean of what the elements around each node have (element_id, area, names)."""
+    per = elements.join(values, "element_id").select(F.explode(F.array("n1", "n2", "n3")).alias("node_id"), F.col(area).alias("_a"), *names)
+    return per.groupBy("node_id").agg(*((F.sum(F.col(n) * F.col("_a")) / F.sum("_a")).alias(n) for n in names))
+
+
 def lumped_areas(elements: DataFrame, areas: DataFrame) -> DataFrame:
     """(node_id, area): a third of the area of the elements around each node."""
     per = elements.join(areas, "element_id").select(F.explode(F.array("n1", "n2", "n3")).alias("node_id"), (F.col("area") / 3).alias("_a"))

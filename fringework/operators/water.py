@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fringework.operators.sampling import Grid
+from fringework.plans.stages import Workspace
 
 #: Grid nodes a pixel side, and nodes from which on a mask is called oversized.
 OVERSAMPLE, OVERSIZED = 2, 5e7
@@ -77,6 +78,13 @@ def land_mask(edges: DataFrame, grid: Grid) -> DataFrame:
     return land_runs(edges, grid).select("yi", F.explode(F.sequence("first", "last")).alias("xi")).distinct()
 
 
+def mask_for_grid(workspace: Workspace, name: str, edges: DataFrame, grid: Grid, overwrite: bool = False) -> DataFrame:
+    """The land mask of a grid as a stage: made once for a grid and coastline, then found by their parameters."""
+    coast = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("x1", "y1", "x2", "y2").cast("decimal(38,0)")).alias("h")).first()
+    params = {**vars(grid), "edges": coast["n"], "coast": str(coast["h"])}
+    return workspace.store(name, lambda: land_mask(edges, grid), params, overwrite)
+
+
 def mask_water(pixels: DataFrame, land: DataFrame, values: Sequence[str]) -> DataFrame:
     """Voids the values of pixels that are not on land, in every slice."""
     marked = pixels.join(land.select("yi", "xi", F.lit(True).alias("_land")), ["yi", "xi"], "left")

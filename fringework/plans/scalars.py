@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from fringework.operators import interferometry as I
@@ -85,3 +86,27 @@ def stack_concat(spark, sf_dir):
     z = R.slc(spark, sf_dir)
     parts = [(t, z.where(F.col("t") == t).select("yi", "xi", "re", "im")) for t in (3, 0, 4, 1, 2)]
     return C.stacked(parts).groupBy(F.col("t").cast("long").alias("t")).agg(F.count("*").alias("n"), F.count("re").alias("valid"))
+
+
+#: A cube that is linear along each axis, which trilinear interpolation gives back exactly.
+_HEIGHTS, _CUBE_Y, _CUBE_X = (0.0, 500.0, 2_000.0), (40.0, -100.0, -600.0), (-5.0, 60.0, 130.0)
+
+
+@query("""
+WITH p AS (SELECT event_id, user_id % 150 * 1.0::DOUBLE - 10 AS x, event_id % 700 * -1.0::DOUBLE + 50 AS y, event_id % 2600 * 1.0::DOUBLE - 100 AS h FROM events)
+SELECT event_id, CASE WHEN x BETWEEN -5 AND 130 AND y BETWEEN -600 AND 40 THEN round(30 + least(2000, greatest(0, h)) * 0.01 + y * 0.05 - x * 0.1, 3) + 0.0::DOUBLE END AS angle FROM p""")
+def cube_sampling(spark, sf_dir):
+    """A geometry cube at places and heights: heights are held at its ends, places outside are void."""
+    h, y, x = (np.array(a) for a in (_HEIGHTS, _CUBE_Y, _CUBE_X))
+    cube = {"angle": 30 + h[:, None, None] * 0.01 + y[None, :, None] * 0.05 - x[None, None, :] * 0.1}
+    e = R.read(spark, sf_dir, "events")
+    points = e.select("event_id", (F.col("user_id") % 150 - 10.0).alias("x"), (F.col("event_id") % 700 * -1.0 + 50).alias("y"), (F.col("event_id") % 2600 - 100.0).alias("h"))
+    return rounded(C.trilinear(points, cube, h, y, x).select("event_id", "angle"), "angle", digits=3)
+
+
+@query("""
+WITH RECURSIVE s AS (SELECT 1000::BIGINT AS n UNION SELECT unnest([n // 2, n - n // 2]) FROM s WHERE n >= 2 * 12 OR (n > 200 AND n >= 2))
+SELECT n AS size FROM s""")
+def cell_ladder(spark, sf_dir):
+    """Every length that halving an axis gives."""
+    return spark.createDataFrame([(n,) for n in C.cell_sizes(1_000, 12, 200)], "size long")

@@ -170,3 +170,51 @@ def local_frame(spark, sf_dir):
     c = R.read(spark, sf_dir, "customer").select("c_custkey", (F.col("c_acctbal") / 5000 - 68).alias("lon"), (F.col("c_nationkey") / 25.0 + 10).alias("lat"))
     x, y = T.LocalFrame(-68.0, 10.5).columns(F.col("lon"), F.col("lat"))
     return c.select("c_custkey", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
+
+
+@query(f"{_MESH}, {_EDGES} SELECT DISTINCT a AS node_id, b AS neighbour FROM edges UNION SELECT DISTINCT b, a FROM edges")
+def node_rings(spark, sf_dir):
+    return T.node_neighbours(_mesh(spark, sf_dir)[0])
+
+
+@query(f"""{_MEASURED}, third AS (SELECT n1 AS node_id, norm / 2 AS a, element_id % 7 AS s FROM m UNION ALL SELECT n2, norm / 2, element_id % 7 FROM m UNION ALL SELECT n3, norm / 2, element_id % 7 FROM m)
+SELECT node_id, round(sum(a * s) / sum(a), 6) AS slip FROM third GROUP BY node_id""")
+def nodal_slip(spark, sf_dir):
+    elements, nodes = _mesh(spark, sf_dir)
+    values = T.measured(elements, nodes).select("element_id", "area", (F.col("element_id") % 7).alias("slip"))
+    return rounded(T.nodal_means(elements, values, ["slip"]), "slip")
+
+
+_VERTICES = ", ".join(f"({i}, {x!r}::DOUBLE, {y!r}::DOUBLE)" for i, (x, y) in enumerate(TRACE))
+
+
+@query(f"""
+WITH v(seq, x, y) AS (VALUES {_VERTICES}), d AS (
+  SELECT seq, x, y, coalesce(sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2), 0) AS step,
+         (coalesce(lead(x) OVER w, x) - coalesce(lag(x) OVER w, x)) AS tx, (coalesce(lead(y) OVER w, y) - coalesce(lag(y) OVER w, y)) AS ty FROM v WINDOW w AS (ORDER BY seq)
+)
+SELECT seq, round(sum(step) OVER (ORDER BY seq), 6) AS s, round(tx / sqrt(tx * tx + ty * ty), 9) AS tangent_x, round(ty / sqrt(tx * tx + ty * ty), 9) AS tangent_y,
+       round(-ty / sqrt(tx * tx + ty * ty), 9) + 0.0::DOUBLE AS normal_x, round(tx / sqrt(tx * tx + ty * ty), 9) AS normal_y FROM d""")
+def trace_frame(spark, sf_dir):
+    """Distance, tangent and left normal at a trace's vertices."""
+    s = T.arc_length([x for x, _ in TRACE], [y for _, y in TRACE])
+    rows = [(i, float(a), *map(float, t), *map(float, n)) for i, (a, t, n) in enumerate(zip(s, T.tangents(TRACE), T.left_normals(TRACE), strict=True))]
+    df = spark.createDataFrame(rows, "seq int, s double, tangent_x double, tangent_y double, normal_x double, normal_y double")
+    return rounded(rounded(df, "s"), "tangent_x", "tangent_y", "normal_x", "normal_y", digits=9)
+
+
+@query("""
+WITH r AS (SELECT pow(3.0::DOUBLE, 1 / 7.0::DOUBLE) AS q), t AS (SELECT i, pow(q, i) AS step FROM range(8) AS x(i), r), total AS (SELECT sum(step) AS whole FROM t)
+SELECT 0::BIGINT AS i, 500.0::DOUBLE AS depth UNION ALL SELECT i + 1, round(500 + 19500 * sum(step) OVER (ORDER BY i) / whole, 6) FROM t, total""")
+def depth_levels(spark, sf_dir):
+    """Levels whose thickness grows threefold to the bottom."""
+    return rounded(spark.createDataFrame([(i, float(z)) for i, z in enumerate(T.depth_levels(500.0, 20_000.0, 8, 3.0))], "i long, depth double"), "depth")
+
+
+@query("SELECT row_number() OVER (ORDER BY x) - 1 AS i, x FROM (SELECT unnest(generate_series(-2, 14)) * 25.0::DOUBLE + 10 AS x)")
+def lattice_union(spark, sf_dir):
+    """An axis of ten samples extended by whole steps over an interval, and its offset to the first."""
+    axis = T.union_lattice((10.0, 25.0, 235.0), (-31.0, 351.0))
+    if T.lattice_offset(axis[0], 10.0, 25.0) != 2:
+        raise ValueError("the axis was shifted")
+    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(axis)], "i long, x double")

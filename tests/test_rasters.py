@@ -208,3 +208,40 @@ def test_projection_columns_invert(spark):
     lon, lat = -67.3, 11.2
     x, y = T.to_tmerc(lon, lat, -69.0)
     assert T.from_tmerc(x, y, -69.0) == pytest.approx((lon, lat), abs=1e-9)
+
+
+def test_a_mask_is_made_once(spark, tmp_path):
+    v = spark.createDataFrame([(0, i, float(x), float(y)) for i, (x, y) in enumerate([(1, 1), (9, 1), (9, 9), (1, 9)])], "ring int, seq int, x double, y double")
+    ws, grid = Workspace(spark, str(tmp_path)), Grid(11, 11, 0.5, 1.0, 10.5, -1.0)
+    first = W.mask_for_grid(ws, "land", W.edges_of(v), grid)
+    again = W.mask_for_grid(ws, "land", W.edges_of(v), grid)
+    assert first.count() == again.count() == 64 and ws.exists("land")
+    with pytest.raises(StageError):
+        W.mask_for_grid(ws, "land", W.edges_of(v), Grid(12, 11, 0.5, 1.0, 10.5, -1.0))
+
+
+def test_traces_and_segments():
+    line = [(0.0, 0.0), (0.0, 0.0), (3.0, 4.0), (3.0, 14.0)]
+    clean = T.without_repeats(line)
+    assert len(clean) == 3 and T.at_length(clean, 0.5) == pytest.approx([3.0, 6.5])
+    parts = T.straight_segments(clean, 3)
+    assert parts.shape == (3, 4) and np.allclose(parts[1:, :2], parts[:-1, 2:]) and np.allclose(parts[0], [0, 0, 3, 4])
+    assert np.allclose(T.pushed_down((0, 0, 10, 0), 5.0, 45.0), [[0, 5, -5], [10, 5, -5]]) and T.pushed_down((0, 0, 10, 0), 5.0, 90.0)[0, 1] == 0 and T.pushed_down((0, 0, 10, 0), 5.0, 100.0)[0, 1] < 0
+    assert np.allclose(T.left_normals([(0, 0), (1, 0), (2, 0)]), [[0, 1]] * 3)
+    frame = T.LocalFrame.of_trace([(-68.0, 10.0), (-67.0, 10.0)])
+    assert frame.lon == pytest.approx(-67.5)
+    with pytest.raises(ValueError):
+        T.without_repeats([(1, 1), (1, 1)])
+
+
+def test_zones_to_local_metres(spark):
+    frame = T.LocalFrame(-68.0, 10.5)
+    x, y = T.to_tmerc(-67.7, 10.9, -69.0)
+    df = spark.createDataFrame([(x, y)], "x double, y double")
+    got = df.select(*(c.alias(n) for c, n in zip(frame.from_zone(F.col("x"), F.col("y"), 32619), "ab", strict=True))).first()
+    assert (got.a, got.b) == pytest.approx(frame.to_local(-67.7, 10.9), abs=1e-4)
+    own = T.LocalFrame(-68.0, 10.5, -69.0)
+    got = df.select(*(c.alias(n) for c, n in zip(own.from_zone(F.col("x"), F.col("y"), 32619), "ab", strict=True))).first()
+    assert (got.a, got.b) == pytest.approx(own.to_local(-67.7, 10.9), abs=1e-6)
+    with pytest.raises(ValueError):
+        frame.from_zone(F.col("x"), F.col("y"), 4326)
