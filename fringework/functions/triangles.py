@@ -46,11 +46,13 @@ def _frame(corners: np.ndarray) -> tuple[float, float, float]:
     return (np.arctan2(n[0], n[1]) - np.pi / 2 if dip > 1e-9 else 0.0), dip, area
 
 
-def triangle_response(px: np.ndarray, py: np.ndarray, corners: np.ndarray, nu: float = 0.25, near: float = 3.0, deepest: int = 7) -> np.ndarray:
+def triangle_response(px: np.ndarray, py: np.ndarray, corners: np.ndarray, nu: float = 0.25, near: float = 3.0, deepest: int = 12) -> np.ndarray:
     """(points, 3 components, 2) east, north, up at the surface for unit strike and dip slip on a triangle (z up, below zero).
 
     A point takes the rule over the whole triangle if it is ``near`` sizes away;
-    for the others the triangle is cut in four, down to a depth of ``deepest``.
+    for the others the triangle is cut in four, again and again. ``deepest`` ends
+    that for points within ``near`` sizes of 1/4096 of the triangle, so on a
+    fault that breaks the surface; farther ones are exact to about 1e-7 of the slip.
     """
     strike, dip, _ = _frame(corners)
     out = np.zeros((len(px), 3, 2))
@@ -161,11 +163,3 @@ class Mesh:
             u = np.einsum("pcs,pc->ps", triangle_response(px, py, c, nu), look)
             out[:, k], out[:, len(self.triangles) + k] = u[:, 0], u[:, 1]
         return out
-
-
-def split(n: int, most: int, overlap: int) -> tuple[int, int]:
-    """Tiles along an axis and their length, so that overlapping tiles hold at most ``most`` samples."""
-    tiles = 1
-    while tiles < n and -(-(n + (tiles - 1) * overlap) // tiles) > most:
-        tiles += 1
-    return tiles, -(-(n + (tiles - 1) * overlap) // tiles)

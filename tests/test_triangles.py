@@ -43,7 +43,13 @@ def test_slip_is_recovered():
     assert status == 1 and np.linalg.norm(g @ x - g @ true) < 1e-3 * np.linalg.norm(g @ true)
 
 
-def test_tiles():
-    assert T.split(1000, 4000, 100) == (1, 1000)
-    n, size = T.split(10_000, 4000, 256)
-    assert n * size - (n - 1) * 256 >= 10_000 and size <= 4000
+def test_points_above_a_fault_that_nearly_breaks_the_surface():
+    length, width, top, dip = 3_000.0, 2_000.0, 10.0, 70.0
+    d = np.radians(dip)
+    a, b = np.array([0, -length / 2, -top]), np.array([0, length / 2, -top])
+    c, e = (np.array([width * np.cos(d), y, -top - width * np.sin(d)]) for y in (length / 2, -length / 2))
+    px, py = np.array([0.0, 1, -3, 8, 20, -40, 900]), np.array([0.0, 500, -700, 100, 1000, 0, -1400])
+    got = T.triangle_response(px, py, np.array([a, b, c])) + T.triangle_response(px, py, np.array([a, c, e]))
+    patch = np.array([[0, 0, top, length, width, 0.0, dip]])
+    want = np.stack([E.patch_greens(px, py, np.tile(look, (len(px), 1)), patch) for look in np.eye(3)], axis=1)
+    assert np.abs(got - want).max() < 1e-6
