@@ -8,7 +8,7 @@ from math import pi
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fringework.storage import written
+from fringework.storage import small_side
 
 
 def nearest_in_time(others: DataFrame, refs: DataFrame, tolerance: int, other_time: str = "ts", ref_time: str = "ref") -> DataFrame:
@@ -69,15 +69,15 @@ def exact_medians(rows: DataFrame, value: str, keys: Sequence[str] = ()) -> Data
     """
     keys = list(keys)
     held = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    span = written(held.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_all")), "median-spans")
-    joined = held.join(F.broadcast(span), keys) if keys else held.crossJoin(F.broadcast(span))
+    span = small_side(held.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_all")), "median-spans")
+    joined = held.join(span, keys) if keys else held.crossJoin(span)
     step = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * MEDIAN_BINS), F.lit(MEDIAN_BINS - 1))).otherwise(F.lit(0))
     binned = joined.select(*keys, "_v", "_all", step.cast("int").alias("_bin"))
     low, high = F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1
     before = lambda order: F.sum("_n").over(Window.partitionBy(*keys).orderBy(order))
     counts = binned.groupBy(*keys, "_bin", "_all").agg(F.count("*").alias("_n")).withColumn("_upto", before("_bin"))
     middle = counts.where((F.col("_upto") >= low) & (F.col("_upto") - F.col("_n") < high)).select(*keys, "_bin", (F.col("_upto") - F.col("_n")).alias("_base"))
-    near = binned.join(F.broadcast(middle), [*keys, "_bin"]).groupBy(*keys, "_bin", "_base", "_all", "_v").agg(F.count("*").alias("_n"))
+    near = binned.join(small_side(middle, "median-steps"), [*keys, "_bin"]).groupBy(*keys, "_bin", "_base", "_all", "_v").agg(F.count("*").alias("_n"))
     ranked = near.withColumn("_to", F.col("_base") + F.sum("_n").over(Window.partitionBy(*keys, "_bin").orderBy("_v"))).withColumn("_from", F.col("_to") - F.col("_n"))
     is_low, is_high = (F.col("_from") < low) & (F.col("_to") >= low), (F.col("_from") < high) & (F.col("_to") >= high)
     return ranked.groupBy(*keys).agg(((F.max(F.when(is_low, F.col("_v"))) + F.max(F.when(is_high, F.col("_v")))) / 2).alias("median"))
@@ -94,12 +94,12 @@ def relabelled(stack: DataFrame, own: DataFrame, refs: DataFrame, tolerance: int
         match = numbered(refs, "pair").join(numbered(own, "other"), "_n").select("pair", "other")
     else:
         match = nearest_pairs(own, refs, tolerance).select("pair", "other")
-    match = written(match, "pair-match")
+    match = small_side(match, "pair-match")
     got = match.agg(F.count("*").alias("n"), F.countDistinct("other").alias("m")).first()
     if not got["n"] == got["m"] == refs.count() == own.count():
         raise ValueError("the pairs do not match one to one")
     names = [F.col("_pair").alias(pair) if c == pair else F.col(c) for c in stack.columns]
-    return stack.join(F.broadcast(match.select(F.col("other").alias(pair), F.col("pair").alias("_pair"))), pair).select(*names)
+    return stack.join(match.select(F.col("other").alias(pair), F.col("pair").alias("_pair")), pair).select(*names)
 
 
 def merged_unwrapped(first: DataFrame, second: DataFrame, tie: str = "auto", keys: Sequence[str] = ("pair", "yi", "xi"), same_acquisitions: bool = True) -> DataFrame:
@@ -124,7 +124,7 @@ def merged_unwrapped(first: DataFrame, second: DataFrame, tie: str = "auto", key
         common = first.select(*keys, "unw").join(other, list(keys)).where("unw IS NOT NULL AND _unw IS NOT NULL")
         median = exact_medians(common.select(pair, (F.col("unw") - F.col("_unw")).alias("_d")), "_d", [pair]).withColumnRenamed("median", "_m")
         shift = median.select(pair, (F.rint(F.col("_m") / (2 * pi)) * (2 * pi) if tie == "cycles" else F.col("_m")).alias("_shift"))
-    both = first.select(*keys, "unw", "conncomp", "coherence").join(other, list(keys), "full_outer").join(F.broadcast(shift), pair, "left")
+    both = first.select(*keys, "unw", "conncomp", "coherence").join(other, list(keys), "full_outer").join(small_side(shift, "frame-shifts"), pair, "left")
     own = F.col("unw").isNotNull()
     moved = F.when(F.col("_cc") > 0, F.col("_cc") + F.lit(top)).otherwise(F.col("_cc"))
     return both.select(

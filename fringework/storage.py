@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SETTING = "spark.checkpoint.dir"
 
@@ -35,6 +36,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows that a side may have to be broadcast: pairs, tracks, fits; of a hundred bytes or so.
+BROADCAST_ROWS = 200_000
+
+
+def small_side(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written, and marked for a broadcast if it has few rows; otherwise a join with it is a shuffle."""
+    table = written(df, name)
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def dropped(spark: SparkSession, df: DataFrame) -> None:
     """Deletes the files of a table made by :func:`written` that is no longer read."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
