@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -146,6 +146,8 @@ def trilinear_joined(points: DataFrame, cube: dict[str, np.ndarray], heights: np
 
     The axes are literals; a cell's row has the values of its eight corners.
     """
+    import pandas as pd
+
     spark = points.sparkSession
     axes = []
     for a in (heights, ys, xs):
@@ -154,16 +156,13 @@ def trilinear_joined(points: DataFrame, cube: dict[str, np.ndarray], heights: np
     layers = {k: np.asarray(v, float)[np.ix_(*(o for _, o in axes))] for k, v in cube.items()}
     nh, ny, nx = (len(a) for a, _ in axes)
     corners = list(np.ndindex(2, 2, 2))
-    names = [f"_{k}_{i}{j}{m}" for k in layers for i, j, m in corners]
 
-    def rows() -> list[DataFrame]:
+    def rows() -> Iterator[DataFrame]:
         for i in range(nh - 1):  # one level at a time, so the driver never holds the table whole
             flat = {f"_{k}_{a}{b}{c}": v[i + a, b : ny - 1 + b, c : nx - 1 + c].ravel() for k, v in layers.items() for a, b, c in corners}
             at = np.indices((ny - 1, nx - 1)).reshape(2, -1)
             yield spark.createDataFrame(pd.DataFrame({"_i": np.full(at.shape[1], i), "_j": at[0], "_m": at[1], **flat}))
 
-    import pandas as pd
-
     cells = None
     for part in rows():
         cells = part if cells is None else cells.unionByName(part)
