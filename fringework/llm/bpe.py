@@ -35,7 +35,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fringework.llm.shared import dropped, free_names, given_back, shared_dir, table, text_or_empty, written
+from fringework.llm.shared import free_names, given_back, shared_dir, table, text_or_empty, written
 
 #: Fixed value: the pattern by which this family of vocabularies cuts text into words.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
