@@ -112,6 +112,10 @@ def code(lengths: tuple[int, ...]) -> Code:
     return Code(lengths)
 
 
+#: Bytes of the stream that stand in the decoder's window when it is filled; what one symbol may take at most (bits).
+_FILL, _MOST_BITS = 64, 15 * 5 + 2 * 18
+
+
 def read_code(bits: Bits, size: int) -> tuple[int, ...]:
     """Code lengths of an alphabet, in the simple or the normal form."""
     lengths = [0] * size
@@ -125,21 +129,36 @@ def read_code(bits: Bits, size: int) -> tuple[int, ...]:
     for at in LENGTH_ORDER[: 4 + bits.take(4)]:
         outer[at] = bits.take(3)
     reader = code(tuple(outer))
-    left = 2 + bits.take(2 + 2 * bits.take(3)) if bits.take(1) else size
-    at, before = 0, 8
-    while at < size and left:
-        left -= 1
-        symbol = reader.read(bits)
+    count = 2 + bits.take(2 + 2 * bits.take(3)) if bits.take(1) else size
+    table, mask, data, pos = reader.table, (1 << reader.longest) - 1, bits.data, bits.at
+    at, before, window, left = 0, 8, 0, 0
+    while at < size and count:
+        count -= 1
+        if left < 16:
+            window = int.from_bytes(data[pos >> 3 : (pos >> 3) + _FILL], "little") >> (pos & 7)
+            left = 8 * _FILL - (pos & 7)
+        used, symbol = table[window & mask]
+        window >>= used
         if symbol < 16:
             lengths[at] = symbol
             at += 1
-            before = symbol or before
-            continue
-        value, n = (before, 3 + bits.take(2)) if symbol == 16 else (0, 3 + bits.take(3)) if symbol == 17 else (0, 11 + bits.take(7))
-        if at + n > size:
-            raise ValueError("code lengths run over the alphabet")
-        lengths[at : at + n] = [value] * n
-        at += n
+            if symbol:
+                before = symbol
+        else:
+            extra = 2 if symbol == 16 else 3 if symbol == 17 else 7
+            n = (11 if symbol == 18 else 3) + (window & ((1 << extra) - 1))
+            window >>= extra
+            used += extra
+            if at + n > size:
+                raise ValueError("code lengths run over the alphabet")
+            if symbol == 16:
+                lengths[at : at + n] = [before] * n
+            at += n
+        pos += used
+        left -= used
+    if pos > bits.end:
+        raise ValueError("the stream ends early")
+    bits.at = pos
     return tuple(lengths)
 
 
@@ -227,10 +246,6 @@ def read_pixels(bits: Bits, width: int, height: int, top: bool) -> np.ndarray:
     return _symbol_by_symbol(bits, h, width, total)
 
 
-#: Bytes of the stream that stand in the decoder's window when it is filled; what one symbol may take at most (bits).
-_FILL, _MOST_BITS = 64, 15 * 5 + 2 * 18
-
-
 def _symbol_by_symbol(bits: Bits, h: _Header, width: int, total: int) -> np.ndarray:
     groups = []
     for lengths in h.groups:
@@ -717,6 +732,10 @@ def _entropy(values: np.ndarray, size: int = 256) -> float:
 
 #: Bits that a code's table takes, about; a plan is taken over the fixed code if it saves this share of its bits, for it is slower to read.
 TABLE_BITS, WORTH = 450, 0.15
+#: Share of the values that must be as predicted, or repeat, for a plan to be looked at.
+SOME_ALIKE = 0.2
+#: Plans are looked at where a quick general compressor needs less than this share of the fixed code's bits.
+DENSE = 0.6
 
 
 def coded_pixels(out: Writer, pixels: np.ndarray, width: int, top: bool, cache_bits: int = 0, found: list[tuple[int, int, int]] | None = None) -> bytes | None:
@@ -779,20 +798,29 @@ def _plans(pixels: np.ndarray, width: int, colours: np.ndarray, index: np.ndarra
     c = _channels(pixels).astype(np.int64)
     grid = c.reshape(-1, width, 4)
     n, out = len(pixels), []
-    if len(colours) <= 256:
-        out.append((32 * len(colours) + n * (8 >> index_bits(len(colours))) / 8 * 4 + TABLE_BITS if len(colours) <= 16 else 32 * len(colours) + _entropy(index) + TABLE_BITS, "palette"))
+    if len(colours) <= 16:
+        out.append((32 * len(colours) + n * (8 >> index_bits(len(colours))) / 2 + TABLE_BITS, "palette"))
+    elif len(colours) <= 256 and 2 * len(colours) < n:
+        out.append((32 * len(colours) + _entropy(index) + TABLE_BITS, "palette"))
+    # What follows pays only where many values are as predicted; that is quickly seen.
+    differ = lambda a, b: np.count_nonzero(a == b) < SOME_ALIKE * a.size
     channels = lambda a: sum(_entropy(a[..., k].ravel() & 255) for k in range(3)) + 3 * TABLE_BITS
-    out.append((channels(c - c[:, 1:2] * [1, 0, 1, 0]), "green"))
-    mixed = c.copy()
-    signed = lambda v: (v & 255) - ((v & 128) << 1)
-    mixed[:, 0] -= signed(c[:, 2])  # blue from red
-    out.append((channels(mixed) + TABLE_BITS / 4, "cross"))
-    if n > width:
-        up, left = grid.copy(), grid.copy()
+    if not differ(c[:, 0], c[:, 1]) or not differ(c[:, 2], c[:, 1]):
+        out.append((channels(c - c[:, 1:2] * [1, 0, 1, 0]), "green"))
+    if not differ(c[:, 0], c[:, 2]):
+        mixed = c.copy()
+        mixed[:, 0] -= (c[:, 2] & 255) - ((c[:, 2] & 128) << 1)  # blue from red
+        out.append((channels(mixed) + TABLE_BITS / 4, "cross"))
+    if n > width and not differ(grid[1:, :, :3], grid[:-1, :, :3]):
+        up = grid.copy()
         up[1:] -= grid[:-1]
+        out.append((channels(up) + TABLE_BITS / 4, "up"))
+    if not differ(grid[:, 1:, :3], grid[:, :-1, :3]):
+        left = grid.copy()
         left[:, 1:] -= grid[:, :-1]
-        out += [(channels(up) + TABLE_BITS / 4, "up"), (channels(left) + TABLE_BITS / 4, "left")]
-    if found:
+        out.append((channels(left) + TABLE_BITS / 4, "left"))
+    repeated = sum(size for _, size, _ in found)
+    if repeated >= SOME_ALIKE * n:
         rest = np.ones(n, bool)
         for i, size, _ in found:
             rest[i : i + size] = False
@@ -823,9 +851,12 @@ def encode_image(samples: np.ndarray, width: int) -> bytes:
     height = len(samples) // (3 * width)
     rgb = samples.reshape(-1, 3).astype(np.uint32)
     pixels = np.uint32(0xFF000000) | rgb[:, 0] << np.uint32(16) | rgb[:, 1] << np.uint32(8) | rgb[:, 2]
-    colours, index = np.unique(pixels, return_inverse=True)
-    found = repeats(pixels)
-    bits, plan = min(_plans(pixels, width, colours, index, found))
+    if 8 * len(zlib.compress(samples.tobytes(), 1)) > DENSE * fixed:
+        bits, plan = fixed, ""  # next to nothing repeats
+    else:
+        colours, index = np.unique(pixels, return_inverse=True)
+        found = repeats(pixels)
+        bits, plan = min(_plans(pixels, width, colours, index, found), default=(fixed, ""))
     out = _opened(width, height)
     if bits > (1 - WORTH) * fixed:
         head, n = _head(lengths)
