@@ -1,5 +1,8 @@
 """Queries of whole tables on rasters that are larger than the smallest tables."""
 
+from collections import Counter
+
+import duckdb
 import pytest
 
 from fringework.plans import registry
@@ -57,3 +60,20 @@ def test_components_of_every_valid_pixel(spark, scene, name, least):
     got = registry.queries()[name](spark, sf).collect()
     assert len(got) == 20_000
     assert {(r.yi, r.xi): r.v for r in got if r.v is not None} == {p: valid[p] for p, c in label.items() if c in keep}
+
+
+def differences(spark, sf, name):
+    """Rows of a query on the events of a folder that its twin lacks, and the other way."""
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet/*.parquet'")
+        want = Counter(con.execute(registry.oracle_sql()[name]).fetchall())
+    got = Counter(map(tuple, registry.queries()[name](spark, sf).collect()))
+    assert want
+    return got - want, want - got
+
+
+@pytest.mark.parametrize("name", ["quadtree_cells"])
+def test_cells_of_a_raster_that_twelve_levels_do_not_exhaust(spark, tmp_path, name):
+    rows = [(i, (i * 7919) % 1_003) for i in [*range(2_000), 6_000_000]]
+    spark.createDataFrame(rows, "event_id long, user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    assert differences(spark, str(tmp_path), name) == (Counter(), Counter())
