@@ -72,7 +72,7 @@ def differences(spark, sf, name):
     return got - want, want - got
 
 
-@pytest.mark.parametrize("name", ["quadtree_cells"])
+@pytest.mark.parametrize("name", ["quadtree_cells", "quadtree_samples"])
 def test_cells_of_a_raster_that_twelve_levels_do_not_exhaust(spark, tmp_path, name):
     rows = [(i, (i * 7919) % 1_003) for i in [*range(2_000), 6_000_000]]
     spark.createDataFrame(rows, "event_id long, user_id long").write.parquet(f"{tmp_path}/events.parquet")
