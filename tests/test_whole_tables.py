@@ -72,6 +72,11 @@ def differences(spark, sf, name):
     return got - want, want - got
 
 
+def test_mean_looks_at_ties_of_the_last_digit(spark, scene):
+    # A mean column of a sixteenth is half a unit of the sixth digit of the look.
+    assert differences(spark, scene[0], "observations") == (Counter(), Counter())
+
+
 @pytest.mark.parametrize("name", ["quadtree_cells", "quadtree_samples"])
 def test_cells_of_a_raster_that_twelve_levels_do_not_exhaust(spark, tmp_path, name):
     rows = [(i, (i * 7919) % 1_003) for i in [*range(2_000), 6_000_000]]
