@@ -1,10 +1,12 @@
 """Queries of whole tables on rasters that are larger than the smallest tables."""
 
+import random
 from collections import Counter
 
 import duckdb
 import pytest
 
+from fringework.operators import masks
 from fringework.plans import registry
 
 WIDTH = 100
@@ -82,3 +84,34 @@ def test_cells_of_a_raster_that_twelve_levels_do_not_exhaust(spark, tmp_path, na
     rows = [(i, (i * 7919) % 1_003) for i in [*range(2_000), 6_000_000]]
     spark.createDataFrame(rows, "event_id long, user_id long").write.parquet(f"{tmp_path}/events.parquet")
     assert differences(spark, str(tmp_path), name) == (Counter(), Counter())
+
+
+@pytest.mark.parametrize("name", ["components_4", "components_8", "largest_component", "components_over_size"])
+def test_a_raster_of_one_tile_needs_no_graph(spark, scene, name, monkeypatch):
+    sizes, whole = [], masks.graph_components
+    monkeypatch.setattr(masks, "graph_components", lambda edges: sizes.append(edges.count()) or whole(edges))
+    assert registry.queries()[name](spark, scene[0]).count() >= 18_000
+    assert sizes == [0]
+
+
+@pytest.mark.parametrize("connectivity,local", [(1, 200_000), (2, 200_000), (2, 0)])
+def test_components_across_tiles(spark, connectivity, local, monkeypatch):
+    whole = masks.graph_components
+    monkeypatch.setattr(masks, "graph_components", lambda edges: whole(edges, local))
+    rng, keys = random.Random(connectivity), [None, 0, 7]
+    cells = {(k, y, x): rng.random() < (0.6, 0.42)[connectivity - 1] for k in keys for y in range(-9, 31) for x in range(-5, 38)}
+    df = spark.createDataFrame([(*p, 1.5 if v else None) for p, v in cells.items()], "pair long, yi int, xi int, v double")
+    reach = [(0, 1), (1, 0), (0, -1), (-1, 0)] + [(1, 1), (1, -1), (-1, 1), (-1, -1)] * (connectivity - 1)
+    label = {k: flooded({p[1:]: 1 for p, v in cells.items() if v and p[0] == k}, reach) for k in keys}
+    got = masks.components(df, "v", connectivity, ["pair"], tile=8).collect()
+    assert len(got) == sum(cells.values())
+    assert {(r.pair, r.yi, r.xi): r.component for r in got} == {(k, *p): (c[0] << 31) + c[1] for k in keys for p, c in label[k].items()}
+    for least in (None, 5):
+        want = set()
+        for k in keys:
+            sizes = Counter(label[k].values())
+            largest = max(sizes, key=lambda c: (sizes[c], -c[0], -c[1]))
+            want |= {(k, *p) for p, c in label[k].items() if (c == largest if least is None else sizes[c] > least)}
+        kept = masks.kept_components(df, "v", least, connectivity, ["pair"], tile=8)
+        assert kept.schema == df.schema and kept.count() == len(cells)
+        assert {(r.pair, r.yi, r.xi) for r in kept.where("v IS NOT NULL").collect()} == want
