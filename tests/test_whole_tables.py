@@ -6,7 +6,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from fringework.operators import masks
+from fringework.operators import masks, statistics
 from fringework.plans import registry
 
 WIDTH = 100
@@ -115,3 +115,14 @@ def test_components_across_tiles(spark, connectivity, local, monkeypatch):
         kept = masks.kept_components(df, "v", least, connectivity, ["pair"], tile=8)
         assert kept.schema == df.schema and kept.count() == len(cells)
         assert {(r.pair, r.yi, r.xi) for r in kept.where("v IS NOT NULL").collect()} == want
+
+
+def test_rows_of_few_tracks_stay_where_they_are(spark):
+    rows = spark.range(300).selectExpr("concat('t', id % 3) AS track", "cast(id * 7 % 11 AS double) AS v", "1.0D AS w", "cast(id % 17 AS double) AS x", "cast(id % 13 AS double) AS y")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = statistics.ramp_content(rows, "v", "w")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
