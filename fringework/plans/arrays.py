@@ -155,6 +155,10 @@ def l_curve(spark, sf_dir):
     return spark.createDataFrame([(r["smoothing"], r["misfit"], r["roughness"], r["variance_reduction"], r["nit"], r["status"] == 1) for r in rows], "smoothing double, misfit double, roughness double, variance_reduction double, nit long, converged boolean")
 
 
+#: Points whose displacement one task computes: seconds of work, whatever the table's size.
+TASK_POINTS = 1 << 15
+
+
 @query("")
 def surface_displacement(spark, sf_dir):
     """East, north, up on the scene's lattice for a triangulated fault with tapered left-lateral slip."""
@@ -171,4 +175,7 @@ def surface_displacement(spark, sf_dir):
             yield f.assign(ux=total[:, 0], uy=total[:, 1], uz=total[:, 2])
 
     points = R.scene(spark, sf_dir).select("yi", "xi", (F.col("xi") * 10.0).alias("x"), (F.col("yi") * -10.0).alias("y"))
+    # The work is in the points, not in the bytes that a file's parts are cut by.
+    ny, nx = _size(spark, sf_dir, "events", "event_id", SCENE_WIDTH)
+    points = points.repartitionByRange(-(-ny * nx // TASK_POINTS), "yi", "xi")
     return rounded(points.mapInPandas(run, "yi long, xi long, x double, y double, ux double, uy double, uz double"), "ux", "uy", "uz")

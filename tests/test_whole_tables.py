@@ -5,9 +5,10 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from fringework.operators import masks, statistics
-from fringework.plans import registry
+from fringework.plans import arrays, registry
 
 WIDTH = 100
 
@@ -126,3 +127,14 @@ def test_rows_of_few_tracks_stay_where_they_are(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_points_are_dealt_by_their_work(spark, scene, monkeypatch):
+    def made():
+        return registry.queries()["surface_displacement"](spark, scene[0]).withColumn("task", F.spark_partition_id())
+
+    whole = made().drop("task")
+    monkeypatch.setattr(arrays, "TASK_POINTS", 1_000, raising=False)
+    tasks = [r["count"] for r in made().groupBy("task").count().collect()]
+    assert sum(tasks) == 20_000 and len(tasks) >= 18 and max(tasks) <= 2_000
+    assert made().drop("task").exceptAll(whole).count() == 0
