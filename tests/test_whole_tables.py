@@ -118,6 +118,25 @@ def test_components_across_tiles(spark, connectivity, local, monkeypatch):
         assert {(r.pair, r.yi, r.xi) for r in kept.where("v IS NOT NULL").collect()} == want
 
 
+def test_pairs_are_linked_at_the_edges_of_tiles(spark, tmp_path, monkeypatch):
+    edges, whole = [], masks.graph_components
+    monkeypatch.setattr(masks, "graph_components", lambda e: edges.append(e.count()) or whole(e))
+    # 1,250 rows of 120 columns: two tiles for each pair.
+    spark.range(150_000).selectExpr("id AS o_orderkey", "id * 7919 % 1003 AS o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
+    want, across = {}, 0
+    for pair in range(2):
+        valid = {divmod(i, 120): c for i in range(150_000) if (i + 7 * pair) % 11 and ((c := i * 7919 % 1003) * 31 + i) % 100 >= 45}
+        label = flooded(valid, [(0, 1), (1, 0), (0, -1), (-1, 0)])
+        sizes, above = Counter(label.values()), Counter(c for p, c in label.items() if p[0] < masks.TILE)
+        across += sum(0 < above[c] <= 4 and n - above[c] > 0 and n > 4 for c, n in sizes.items())
+        want |= {(pair, *p): round((c * 7 + pair * 13) % 200 / 10 + p[1] / 50, 6) for p, c in valid.items() if sizes[label[p]] > 4}
+    assert across  # components that are kept for what they have in both tiles
+    got = registry.queries()["unconnected_by_pair"](spark, str(tmp_path)).collect()
+    assert len(got) == 300_000
+    assert {(r.pair, r.yi, r.xi): r.unw for r in got if r.unw is not None} == want
+    assert len(edges) == 1 and 0 < edges[0] <= 2 * 120
+
+
 def test_rows_of_few_tracks_stay_where_they_are(spark):
     rows = spark.range(300).selectExpr("concat('t', id % 3) AS track", "cast(id * 7 % 11 AS double) AS v", "1.0D AS w", "cast(id % 17 AS double) AS x", "cast(id % 13 AS double) AS y")
     limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
